@@ -23,7 +23,6 @@ from ..schema import (ACTION, ACTIVITIES, ALLOWING_DISPOSITIONS, CATEGORIES, CLA
 Ref = Callable[[str], str]
 Stage = Callable[[Ref], dict]
 
-LEAVES = leaf_types()
 # derived in a stage of their own rather than copied from the mapping
 DERIVED = {"class_uid", "class_name", "category_uid", "category_name", "activity_id", "activity_name", "type_uid",
            "type_name", "severity_id", "severity", "time", "time_dt", "disposition", "disposition_id", "action",
@@ -524,7 +523,7 @@ class Normalizer:
                 "time": tp.millis(r("event_us")), "time_dt": tp.iso_text(r("event_us")),
                 "action": f"coalesce({lookup(ACTION, f'CAST({r("action_id")} AS STRING)')}, {self._m(r, 'action')})",
             }
-            for path, typ in LEAVES.items():
+            for path, typ in leaf_types().items():
                 if path in DERIVED or path.startswith(("metadata.", "enrichments.")):
                     continue
                 value = self._m(r, path)
@@ -563,13 +562,11 @@ class Normalizer:
 
     def _extra(self, r: Ref) -> str:
         """Mapped values the fixed columns cannot hold, as text by path."""
-        items = []
+        items, leaves = [], leaf_types()
         for path in self.paths:
             value = self._m(r, path)
-            if path.startswith("metadata.") and path not in LEAVES:
-                items.append(entry(q(path), value))
-            elif path in LEAVES:
-                typ = LEAVES[path]
+            if path in leaves:
+                typ = leaves[path]
                 if typ in ("int", "bigint") and path not in DERIVED and path not in SILENT_INTS:
                     cast = to_int(value) if typ == "int" else to_long(value)
                     items.append(entry(q(path), f"CASE WHEN {cast} IS NULL THEN {value} END"))

@@ -214,6 +214,15 @@ def route(df: DataFrame, registry: Registry, enforce: bool = True) -> DataFrame:
     return flow.df.selectExpr(*[f"`{c}`" for c in cols], f"{sid} AS source_id", "reason", "detail", "parser_id")
 
 
+def tokenize(df: DataFrame, registry: Registry) -> DataFrame:
+    """Adds ``parser`` (first candidate) and its ``tokens`` (NULL when they do not parse)."""
+    cols = df.columns
+    flow = _routed(df, registry, Normalizer(registry.parsers), enforce=False)
+    sid = case([(f"w = {i}", fpo.q(p["source_id"])) for i, p in enumerate(registry.parsers)], "CAST(NULL AS STRING)")
+    flow.add({"parser": _settled(sid)})
+    return flow.df.selectExpr(*[f"`{c}`" for c in cols], "parser", "tokens")
+
+
 # ---------------------------------------------------------------- events
 def parse_flat(df: DataFrame, registry: Registry, enforce: bool = True, **options) -> DataFrame:
     """Input columns plus every event leaf as its own column (dots become ``__``).
@@ -258,10 +267,14 @@ def _struct_sql(field: T.DataType, path: str, ready: set) -> tuple[str, list[str
 
 def to_events(flat: DataFrame) -> DataFrame:
     """Flat frame -> the event table (one column per top-level attribute)."""
+    return to_events_with(flat)
+
+
+def to_events_with(flat: DataFrame, *keep: str) -> DataFrame:
+    """The event table with some input columns kept in front."""
     ready = set(flat.columns)
-    out = []
-    for f in event_schema().fields:
-        out.append(f"{_struct_sql(f.dataType, f.name, ready)[0]} AS `{f.name}`")
+    out = [f"`{c}`" for c in keep]
+    out += [f"{_struct_sql(f.dataType, f.name, ready)[0]} AS `{f.name}`" for f in event_schema().fields]
     return flat.filter("reason IS NULL").selectExpr(*out)
 
 

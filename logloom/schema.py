@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import types as T
 
 _ENDPOINT = ("STRUCT<ip: STRING, port: INT, hostname: STRING, interface_name: STRING,"
@@ -97,12 +99,14 @@ CEF_SEVERITY = {0: 0, 1: 1, 2: 3, 3: 5, 4: 7, 5: 9, 6: 10}
 SNIPPET_LIMIT = 4000
 
 
+@lru_cache(maxsize=1)
 def event_schema() -> T.StructType:
     return T.StructType.fromDDL(EVENT_DDL)
 
 
+@lru_cache(maxsize=1)
 def leaf_types() -> dict[str, str]:
-    """Dotted path -> SQL type for every scalar of the event."""
+    """Dotted path -> SQL type for every scalar of the event (needs a running session)."""
     out: dict[str, str] = {}
 
     def walk(struct: T.StructType, prefix: str) -> None:
