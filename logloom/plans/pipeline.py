@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from ..functions.sqltext import case, nest
 from ..operators import fingerprint as fpo
 from ..operators import tokenizers as tk
+from ..operators.archive import replay_source
+from ..operators.dlq import quarantine
 from ..operators.envelope import add_envelope, envelope_view
 from ..schema import event_schema
 from .normalizer import Normalizer, leaf
@@ -31,10 +33,13 @@ def prepare_session(spark) -> None:
 
     Times are UTC.  Constraint propagation compares every alias of a plan with
     every other; on a plan of hundreds of aliases that takes minutes of driver
-    time and finds nothing, so it is switched off.
+    time and finds nothing, so it is switched off.  Table keys are compared in
+    lower case; the ICU word-break mapping costs half of the parse and only
+    differs for a few letters outside ASCII.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    spark.conf.set("spark.sql.icu.caseMappings.enabled", "false")
 
 
 class Flow:
@@ -283,5 +288,24 @@ def normalize(df: DataFrame, registry: Registry, enforce: bool = True, **options
     return to_events(parse_flat(df, registry, enforce, **options))
 
 
-def to_dlq_input(flat: DataFrame) -> DataFrame:
-    return flat.filter("reason IS NOT NULL")
+def parse_or_quarantine(df: DataFrame, registry: Registry, enforce: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(normalized events, DLQ rows) of one batch of raw events.
+
+    Both sides read the same frame: persist it first (``fan_out`` does) or write
+    the raw table before, and neither side parses twice.
+    """
+    flat = parse_flat(_prepared(df).drop("ingest_us"), registry, enforce)
+    return to_events(flat), quarantine(flat.filter("reason IS NOT NULL"))
+
+
+def replay(pending: DataFrame, archive: DataFrame, registry: Registry) -> DataFrame:
+    """Re-parses quarantined rows from their archived originals.
+
+    Adds ``source_id`` (NULL when the row still fails) and ``still`` (the reason);
+    failures are reported, not queued again.
+    """
+    originals = replay_source(pending, archive).withColumnRenamed("reason", "was")
+    rows = originals.drop("parser_id").withColumnRenamed("raw_sha256", "sha256").withColumn(
+        "size_bytes", F.expr("CAST(octet_length(raw) AS BIGINT)"))
+    out = route(rows, registry)
+    return out.withColumnRenamed("reason", "still")

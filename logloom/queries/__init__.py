@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import parsing
+from . import operations, parsing
 
-_MODULES = [parsing]
+_MODULES = [parsing, operations]
 
 
 def queries() -> dict:
