@@ -129,6 +129,15 @@ def groups(s: str, java_pattern: str, n_groups: int, anchored: bool) -> str:
     return f"CASE WHEN contains({s}, {q(_MISSING_GROUP_SEP)}) THEN {slow} ELSE {fast} END"
 
 
+def settled(sql: str) -> str:
+    """Marks a column as not deterministic, without changing it.
+
+    Filters on the column would otherwise be pushed through every projection
+    below, repeating the whole computation inside the predicate at each level.
+    """
+    return f"CASE WHEN monotonically_increasing_id() >= 0 THEN {sql} END"
+
+
 def _split_flags(pattern: str) -> tuple[str, str]:
     m = re.match(r"\(\?[a-z]+\)", pattern)
     return (m.group(0), pattern[m.end():]) if m else ("", pattern)

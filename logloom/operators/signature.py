@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions.sqltext import q, strip
+from ..functions.sqltext import q, settled, strip
 from .envelope import add_envelope
 from .tokenizers import json_repeated, json_variant
 
@@ -75,8 +75,9 @@ def signature_columns(df: DataFrame, channel: str = "channel") -> DataFrame:
     app = "coalesce(env_app_name, '')"
     key = f"concat(CASE WHEN {app} <> '' THEN concat('app=', {app}, '|') ELSE '' END, _key)"
     label = f"concat(CASE WHEN {app} <> '' THEN concat({app}, ': ') ELSE '' END, _label)"
+    cluster = f"left(sha1(concat(coalesce(`{channel}`, ''), '|', {key})), 12)"
     return df.selectExpr(
-        *keep, f"left(sha1(concat(coalesce(`{channel}`, ''), '|', {key})), 12) AS cluster_id",
+        *keep, f"{settled(cluster)} AS cluster_id",
         f"left({label}, 120) AS cluster_label", "_fmt AS format_guess")
 
 

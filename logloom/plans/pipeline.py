@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sqltext import case, nest
+from ..functions.sqltext import case, nest, settled
 from ..operators import fingerprint as fpo
 from ..operators import tokenizers as tk
 from ..operators.archive import replay_source
@@ -40,6 +40,10 @@ def prepare_session(spark) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     spark.conf.set("spark.sql.icu.caseMappings.enabled", "false")
+    # both rules trace a join key back through every projection to the scan, which
+    # takes minutes for a parsed key and cannot help (a parsed key prunes nothing)
+    spark.conf.set("spark.sql.optimizer.dynamicPartitionPruning.enabled", "false")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "false")
 
 
 class Flow:
@@ -193,19 +197,10 @@ def _routed(df: DataFrame, registry: Registry, norm: Normalizer, enforce: bool)
     return flow.drop("_rest", "cands", "a1_tokens", "a1_usable", "a1_variant", "_jptext", "_jpv", "_xml")
 
 
-def _settled(sql: str) -> str:
-    """Marks a column as not deterministic, without changing it.
-
-    Filters on the outcome would otherwise be pushed through every projection
-    below, repeating the whole parse inside the predicate at each level.
-    """
-    return f"CASE WHEN monotonically_increasing_id() >= 0 THEN {sql} END"
-
-
 def _outcome(flow: Flow, registry: Registry) -> Flow:
     sid = case([(f"c1 = {i}", fpo.q(p["source_id"])) for i, p in enumerate(registry.parsers)], "NULL")
     return flow.add({
-        "reason": _settled("CASE WHEN nc = 0 THEN 'no_parser_match' WHEN w IS NULL THEN a1_fail END"),
+        "reason": settled("CASE WHEN nc = 0 THEN 'no_parser_match' WHEN w IS NULL THEN a1_fail END"),
         "detail": "CASE WHEN nc = 0 THEN 'no fingerprint matched' WHEN w IS NULL THEN a1_fail_detail END",
         "parser_id": f"CASE WHEN nc > 0 AND w IS NULL THEN {sid} END",
     })
@@ -224,7 +219,7 @@ def tokenize(df: DataFrame, registry: Registry) -> DataFrame:
     cols = df.columns
     flow = _routed(df, registry, Normalizer(registry.parsers), enforce=False)
     sid = case([(f"w = {i}", fpo.q(p["source_id"])) for i, p in enumerate(registry.parsers)], "CAST(NULL AS STRING)")
-    flow.add({"parser": _settled(sid)})
+    flow.add({"parser": settled(sid)})
     return flow.df.selectExpr(*[f"`{c}`" for c in cols], "parser", "tokens")
 
 

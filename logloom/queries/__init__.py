@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import operations, parsing
+from . import inference, operations, parsing
 
-_MODULES = [parsing, operations]
+_MODULES = [parsing, operations, inference]
 
 
 def queries() -> dict:

@@ -108,9 +108,9 @@ _SIG = BASE + """, g AS (SELECT *, CASE WHEN family = 10 THEN k % 4 WHEN k % 2 =
  s AS (SELECT *, CASE sub
    WHEN 0 THEN 'kv:id,sn,time,fw' WHEN 1 THEN 'app=RT_FLOW|text:RT_FLOW_SESSION_DENY: session denied <*>'
    WHEN 2 THEN 'json:CommandLine,ComputerName,ImageFileName,RawProcessId,UserName,aid,event_simpleName,timestamp,vendor'
-   WHEN 3 THEN 'app=filterlog|csv:28' WHEN 4 THEN 'text:<*> <kv> <*>' ELSE 'app=filterlog|text:SOMETHING_NEW <kv>' END AS key,
+   WHEN 3 THEN 'app=filterlog|csv:26' WHEN 4 THEN 'text:<*> <kv> <*>' ELSE 'app=filterlog|text:SOMETHING_NEW <kv>' END AS key,
   CASE sub WHEN 0 THEN 'key=value {id, sn, time, fw, …}' WHEN 1 THEN 'RT_FLOW: RT_FLOW_SESSION_DENY: session denied <*>'
-   WHEN 2 THEN 'JSON {CommandLine, ComputerName, ImageFileName, RawProcessId, UserName, …}' WHEN 3 THEN 'filterlog: CSV (28 columns)'
+   WHEN 2 THEN 'JSON {CommandLine, ComputerName, ImageFileName, RawProcessId, UserName, …}' WHEN 3 THEN 'filterlog: CSV (26 columns)'
    WHEN 4 THEN '<*> <kv> <*>' ELSE 'filterlog: SOMETHING_NEW <kv>' END AS label,
   CASE sub WHEN 0 THEN 'kv' WHEN 2 THEN 'json' WHEN 3 THEN 'csv' ELSE 'text' END AS fmt FROM g),
  q AS (SELECT *, substr(sha1(channel || '|' || key), 1, 12) AS cluster_id FROM s) """
@@ -129,7 +129,7 @@ def sig_cluster_counts(spark, sf):
 _TOK = "regexp_matches(t, '^[-+]?[0-9]+([.,:][0-9]+)*$')"
 
 
-@query("sig_shape", "WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')[1:4] AS ws FROM conversations), t AS (SELECT conv_id, turn, unnest(ws) AS t FROM w) "
+@query("sig_shape", "WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:4] AS ws FROM conversations), t AS (SELECT conv_id, turn, unnest(ws) AS t FROM w) "
        "SELECT shape, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN regexp_matches(t, '^[0-9]{1,3}(\\.[0-9]{1,3}){3}([:/][0-9]+)*$') THEN '<ip>' WHEN " + _TOK + " THEN '<num>' "
        "WHEN regexp_matches(t, '^(0x)?[0-9a-fA-F]{8,}$') THEN '<hex>' WHEN contains(t, '=') THEN '<kv>' WHEN length(t) <= 40 AND regexp_matches(t, '^[A-Za-z%_][\\p{L}\\p{N}_%\\-]*:?$') "
        "THEN regexp_replace(t, '\\p{Nd}', '#', 'g') ELSE '<*>' END AS shape FROM t) GROUP BY 1")
@@ -323,13 +323,13 @@ def sink_syslog_cef(spark, sf):
     return out.selectExpr("eid", "substring_index(line, ' cs1=', 1) AS head")
 
 
-@query("sink_bulk", EVENT + "SELECT 'logs-' || strftime(ts, '%Y.%m.%d') AS idx, CAST(count(*) AS BIGINT) AS docs FROM f WHERE family = 6 GROUP BY 1")
+@query("sink_bulk", EVENT + "SELECT CAST(0 AS BIGINT) AS line_no, 'logs-' || strftime(ts, '%Y.%m.%d') AS idx, CAST(NULL AS VARCHAR) AS src_ip, CAST(count(*) AS BIGINT) AS n FROM f WHERE family = 6 GROUP BY 2 "
+       "UNION ALL SELECT 1, NULL, e_src, CAST(count(*) AS BIGINT) FROM f WHERE family = 6 GROUP BY 3")
 def sink_bulk(spark, sf):
     out = sinks.to_bulk_ndjson(events(spark, sf, "fortigate", 6, keep=()), "logs")
-    acts = out.filter("line_no = 0").selectExpr("event_id", "get_json_object(line, '$.create._index') AS idx", "get_json_object(line, '$.create._id') AS id")
-    docs = out.filter("line_no = 1").selectExpr("event_id", "get_json_object(line, '$.@timestamp') AS t", "get_json_object(line, '$.metadata.uid') AS uid")
-    both = acts.join(docs, "event_id").filter("id = uid AND t IS NOT NULL")
-    return both.groupBy("idx").agg(F.count("*").alias("docs"))
+    rows = out.selectExpr("CAST(line_no AS BIGINT) AS line_no", "get_json_object(line, '$.create._index') AS idx",
+                          "get_json_object(line, '$.src_endpoint.ip') AS src_ip")
+    return rows.groupBy("line_no", "idx", "src_ip").agg(F.count("*").alias("n"))
 
 
 @query("sink_kafka_frame", EVENT + "SELECT sid AS key, e_src AS src_ip, disposition, CAST(count(*) AS BIGINT) AS n FROM f WHERE family = 6 GROUP BY 1, 2, 3")
@@ -456,9 +456,9 @@ def heal_pending_since(spark, sf):
     return heal.pending_since(light_dlq(spark, sf), proposals(spark, sf)).selectExpr("cluster_id", "new_n", "unix_micros(new_first_ts) AS first_us")
 
 
-@query("heal_states", _PROP + ", c AS (SELECT q.cluster_id, any_value(p.status) AS status, count(*) AS n, count(*) FILTER (ts > last - INTERVAL 5 DAY) AS fresh FROM q JOIN p ON q.cluster_id = p.cluster_id GROUP BY 1) "
+@query("heal_states", _PROP + ", cc AS (SELECT q.cluster_id, any_value(p.status) AS status, count(*) AS n, count(*) FILTER (ts > last - INTERVAL 5 DAY) AS fresh FROM q JOIN p ON q.cluster_id = p.cluster_id GROUP BY 1) "
        "SELECT cluster_id, status AS latest_proposal_status, CAST(n AS BIGINT) AS count, CAST(CASE WHEN status = 'open' THEN n ELSE fresh END AS BIGINT) AS counted, "
-       "CASE WHEN status = 'open' THEN 'refresh' WHEN fresh < 5 THEN 'waiting_min' ELSE 'ready' END AS state FROM c")
+       "CASE WHEN status = 'open' THEN 'refresh' WHEN fresh < 5 THEN 'waiting_min' ELSE 'ready' END AS state FROM cc")
 def heal_states(spark, sf):
     rows = light_dlq(spark, sf)
     clusters = rows.groupBy("cluster_id").agg(F.count("*").alias("count"), F.min("ts").alias("first_ts"))
