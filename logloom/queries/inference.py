@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import infer
 from ..operators import registry_log as rl
+from ..plans.lineage import cut
 from .oracle import BASE
 from .parsing import reg
 
@@ -31,7 +32,11 @@ _SUB = "concat('c', k % 4)"
 def samples(spark, sf, k: int = 25) -> DataFrame:
     """Newest 25 lines (the sample size of a proposal) of each drift sub-family."""
     df = fx.lines(spark, sf, 10).selectExpr("eid AS event_id", "eid", f"{_SUB} AS cluster_id", "text", "channel", "ts", "ingest_time")
-    return infer.select_samples(df, k)
+    return cut(infer.select_samples(df, k))
+
+
+def tokens_of(s: DataFrame) -> DataFrame:
+    return cut(infer.infer_tokens(s))
 
 
 _S = BASE + """, n AS (SELECT *, k % 4 AS sub, 'c' || (k % 4) AS cluster_id, row_number() OVER (PARTITION BY k % 4 ORDER BY ts DESC, eid DESC) AS rn FROM d WHERE family = 10),
@@ -60,7 +65,7 @@ def infer_tokens(spark, sf):
     s = samples(spark, sf)
     ids = s.select("cluster_id", "sample", "eid")
     wanted = ["src", "fw_action", "CommandLine", "UserName", "col16", "col18", "src_ip", "dst_port"]
-    return infer.infer_tokens(s).filter(F.col("token").isin(wanted)).join(ids, ["cluster_id", "sample"]).select(
+    return tokens_of(s).filter(F.col("token").isin(wanted)).join(ids, ["cluster_id", "sample"]).select(
         "cluster_id", "eid", "token", "value")
 
 
@@ -68,7 +73,7 @@ def infer_tokens(spark, sf):
        "SELECT cluster_id, 'src' AS token, src || ':' || sport AS v FROM s WHERE sub = 0 UNION ALL SELECT cluster_id, 'col16', (user_id % 9) || '.' || tail FROM s WHERE sub = 3 UNION ALL SELECT cluster_id, 'col18', CAST(sport AS VARCHAR) FROM s WHERE sub = 3 "
        "UNION ALL SELECT cluster_id, 'RawProcessId', CAST(1000 + eid % 8000 AS VARCHAR) FROM s WHERE sub = 2) GROUP BY 1, 2")
 def infer_key_profile(spark, sf):
-    p = infer.key_profile(infer.infer_tokens(samples(spark, sf)))
+    p = infer.key_profile(tokens_of(samples(spark, sf)))
     return p.filter(F.col("token").isin("src", "col16", "col18", "RawProcessId")).selectExpr(
         "cluster_id", "token", "present", "kinds", "all_ip", "all_ip_port", "all_int")
 
@@ -76,7 +81,7 @@ def infer_key_profile(spark, sf):
 @query("infer_const_keys", _S + "SELECT tot.cluster_id, t.token, t.value, CAST(tot.n AS BIGINT) AS total FROM tot JOIN (VALUES (0, 'id', 'firewall'), (0, 'sn', '0017C5'), (0, 'fw', '203.0.113.1'), (0, 'c', '32'), (0, 'm', '36'), (0, 'msg', 'Connection'), (0, 'proto', 'tcp/https')) t(sub, token, value) ON t.sub = tot.sub")
 def infer_const_keys(spark, sf):
     s = samples(spark, sf)
-    return infer.const_keys(infer.key_profile(infer.infer_tokens(s)), s).filter("cluster_id = 'c0'").select(
+    return infer.const_keys(infer.key_profile(tokens_of(s)), s).filter("cluster_id = 'c0'").select(
         "cluster_id", "token", "value", "total")
 
 
@@ -88,7 +93,7 @@ def infer_columns(spark, sf):
 
 
 def _mapping(spark, sf) -> DataFrame:
-    return infer.infer_mapping(infer.key_profile(infer.infer_tokens(samples(spark, sf))))
+    return infer.infer_mapping(infer.key_profile(tokens_of(samples(spark, sf))))
 
 
 _MAP = """(VALUES (0, 'src_ip', 'src_endpoint.ip'), (0, 'src_port', 'src_endpoint.port'), (0, 'dst_ip', 'dst_endpoint.ip'), (0, 'dst_port', 'dst_endpoint.port'),
@@ -112,7 +117,7 @@ def infer_shape_assign(spark, sf):
 @query("infer_dispositions", _S + "SELECT DISTINCT cluster_id, verb, CASE verb WHEN 'drop' THEN 'Dropped' WHEN 'block' THEN 'Blocked' ELSE 'Allowed' END AS disposition, CASE WHEN verb IN ('drop', 'block') THEN 'Refuse' ELSE 'Traffic' END AS activity FROM ("
        "SELECT cluster_id, CASE sub WHEN 0 THEN CASE WHEN blocked THEN 'drop' ELSE 'forward' END ELSE CASE WHEN blocked THEN 'block' ELSE 'pass' END END AS verb FROM s WHERE sub IN (0, 3))")
 def infer_dispositions(spark, sf):
-    tokens = infer.infer_tokens(samples(spark, sf))
+    tokens = tokens_of(samples(spark, sf))
     return infer.infer_dispositions(tokens, infer.infer_mapping(infer.key_profile(tokens))).select("cluster_id", "verb", "disposition", "activity")
 
 
@@ -124,13 +129,13 @@ def infer_class(spark, sf):
 @query("infer_timestamp", _S + "SELECT cluster_id, CASE sub WHEN 0 THEN 'time' WHEN 2 THEN 'timestamp' ELSE 'envelope' END AS source, CASE sub WHEN 0 THEN '%Y-%m-%d %H:%M:%S UTC' WHEN 2 THEN 'epoch_ms' END AS format FROM tot")
 def infer_timestamp(spark, sf):
     s = samples(spark, sf)
-    return infer.infer_timestamp(infer.infer_tokens(s), s).select("cluster_id", "source", "format")
+    return infer.infer_timestamp(tokens_of(s), s).select("cluster_id", "source", "format")
 
 
-@query("infer_fingerprint", _S + "SELECT cluster_id, CASE sub WHEN 2 THEN 'json_key' ELSE 'contains' END AS type, CASE sub WHEN 0 THEN 'id=firewall' WHEN 1 THEN 'RT_FLOW_SESSION_DENY:' WHEN 2 THEN 'ProcessRollup2' ELSE 'filterlog' END AS pattern FROM tot")
+@query("infer_fingerprint", _S + "SELECT cluster_id, CASE sub WHEN 2 THEN 'json_key' ELSE 'contains' END AS type, CASE sub WHEN 0 THEN 'id=firewall' WHEN 1 THEN 'RT_FLOW_SESSION_DENY:' WHEN 2 THEN 'edr_agent' ELSE 'filterlog' END AS pattern FROM tot")
 def infer_fingerprint(spark, sf):
     s = samples(spark, sf)
-    return infer.infer_fingerprint(infer.infer_tokens(s), s).select("cluster_id", "type", "pattern")
+    return infer.infer_fingerprint(tokens_of(s), s).select("cluster_id", "type", "pattern")
 
 
 @query("set_common_tokens", "WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z%_][A-Za-z0-9_%:.\\-]{4,}')) AS literal FROM conversations), n AS (SELECT conv_id, count(*) AS total FROM conversations GROUP BY 1) "
