@@ -17,8 +17,8 @@ def archive_rows(df: DataFrame) -> DataFrame:
 def write_archive(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append-only Parquet, by source and hour.
 
-    The rows of one hour and source are spread over several files (the hash of
-    the event id decides), so a hot source is never written by one task alone.
+    No shuffle: every task writes what it read, so a hot source is spread over as
+    many tasks as its input was.  Compact small files separately.
     """
     rows = archive_rows(df)
     rows.write.mode(mode).partitionBy("source", "ingest_hour").option("compression", "zstd").parquet(path)
