@@ -193,7 +193,9 @@ class Join:
         apart = "aggregate(zip_with(a_parts, b_parts, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
         return pairs.filter(near(f"(an + bn - {apart}) / 2")).select("a", "b", "an", "bn")
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        sets = saved(_elements(self.docs, self.k, ends).join(ends, "class", "left_semi").dropDuplicates(["class"]), "uncompressed")
         both = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
         same = both.withColumn("i", F.size(F.array_intersect("a_set", "b_set")))
         return same.filter(f"100 * i >= {self.percent} * (an + bn - i)").select("a", "b")
@@ -201,15 +203,15 @@ class Join:
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
         rows = saved(_sets(self.docs, self.k, self.percent, frequency_classes(self.docs, self.k)))
-        known = saved(rows.filter("prefix is not null").dropDuplicates(["class"]).select("class", "n", "prefix", "parts"))
-        posts = known.select(F.posexplode("prefix").alias("pos", "key"), "class", "n")
+        known = saved(rows.filter("prefix is not null").select("class", "parts").dropDuplicates(["class"]))
+        posts = rows.filter("prefix is not null").select(F.posexplode("prefix").alias("pos", "key"), "class", "n")
         # elements that several classes hold, each with the class that stands for them
         heads = posts.groupBy("key").agg(F.min(F.struct("class", "n", "pos")).alias("a"), F.max("class").alias("last")).filter(
             "a.class < last").select("key", "a")
-        posts = saved(posts.join(heads, "key").select("key", "a", F.struct("class", "n", "pos").alias("b")))
-        sets = saved(_elements(self.docs, self.k, posts.select("b.class").distinct()).dropDuplicates(["class"]), "uncompressed")
+        # (tasks of their own may have sent the same class)
+        posts = saved(posts.join(heads, "key").select("key", "a", F.struct("class", "n", "pos").alias("b")).distinct())
         first = saved(self._filtered(posts.filter("a.class < b.class").filter(self._near()), known))
-        links = saved(self._verified(first, sets))
+        links = saved(self._verified(first))
         roots = saved(components(links))
         # meetings across components
         side = posts.select("key", F.col("b.class").alias("class"), F.col("b.n").alias("n"), F.col("b.pos").alias("pos")).join(
@@ -224,8 +226,8 @@ class Join:
         met = met.filter(self._near(shared="least(a.pos, b.pos) + 1 + least(a.n - a.pos - 1, b.n - b.pos - 1)"))
         met = met.select(F.when(F.expr("a.class < b.class"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.expr(
             "a.class < b.class"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        second = self._filtered(met, known).join(first.select("a", "b"), ["a", "b"], "left_anti")
-        roots = saved(components(links.union(self._verified(second, sets))))
+        second = saved(self._filtered(met, known).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+        roots = saved(components(links.union(self._verified(second))))
         of_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(
             roots.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
