@@ -1,15 +1,15 @@
 """Operator 3: Jaccard join on word n-grams, with prefix, length, positional and suffix filters.
 
-A document's set is its distinct shingles of ``k`` words (64-bit hashes). All shingles are ordered rare first,
-by frequencies counted over the whole table in 2**18 cells, ties by hash. Two sets of similarity t share an
+A document's set is its distinct shingles of ``k`` words (64-bit hashes). All shingles are ordered rare first:
+those of a single document, then by frequencies counted over the whole table in 2**18 cells, ties by hash. Two sets of similarity t share an
 element among their first n - ceil(t n) + 1, so documents meet on those prefixes only. Candidates pass the
 length filter, the positional filter (shared prefix elements plus what can follow them) and the suffix filter
 (sizes of the sets in 32 fixed parts of the hash range bound their distance from below); then the sets are
 compared, once for a pair.
 
 No group is expanded into all its pairs. Equal sets form one class and meet as one. First, each prefix
-element links all its classes to one of them; components of the links that hold are formed. A pair inside a
-component can't change anything any more, so second, only classes of different components meet, those
+element has a leader, a class is compared with the leader that it shares most elements with, and components
+of the links that hold are formed (twice, with other leaders). A pair inside a component can't change anything any more, so second, only classes of different components meet, those
 outside an element's most common component against all others. Every link between different components is
 found that way, so reachability is exact.
 
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import chunks, saved, table, text_bytes
 from .components import components
 
-CELL_BITS, PARTS, FILTER_BITS, CHUNK = 18, 32, 24, 1 << 20
+CELL_BITS, KEY_BITS, SEEN_BITS, PARTS, FILTER_BITS, CHUNK = 18, 36, 27, 32, 24, 1 << 20
+#: Rounds in which a class meets the likeliest of its elements' leaders, before the rest is compared.
+ROUNDS = 2
 
 _RANDOM = np.random.default_rng(20_011)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -91,53 +93,114 @@ def _class_of(x: np.ndarray) -> int:
     return int(_mix((sums * _PLACE[:3]).sum(keepdims=True)).view(np.int64)[0])
 
 
-def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
-    """For each of the 2**CELL_BITS cells of the hash range the logarithm of its shingles' number (0 to 255).
-    A task sends a count for each cell that it met, whatever its rows."""
+def _coded(keys: np.ndarray) -> bytes:
+    """Sorted keys as 16-bit gaps; a gap of 65535 or more takes fillers of 65535 first."""
+    gaps = np.diff(keys, prepend=keys[:0].dtype.type(0))
+    fill = (gaps // 65535).astype(np.int64)
+    out = np.full(len(keys) + int(fill.sum()), 65535, np.uint16)
+    out[np.cumsum(fill + 1) - 1] = gaps % 65535
+    return out.tobytes()
 
-    def run(batches):
-        total = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            data, bounds = text_bytes(batch.column("text"))
-            for i, j in chunks(bounds, CHUNK):
-                hashes, _ = shingles(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i], k)
-                total += np.bincount((hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
-    found = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << CELL_BITS)
-    out[found["cell"]] = found["n"]
-    return np.minimum(np.log2(out + 1) * 6, 255).astype(np.uint64)
+def _decoded(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint16)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 65535]
+
+
+def frequencies(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bitmap of the shingles that several documents hold, logarithm of the number of shingles (0 to 120) in
+    each of the 2**CELL_BITS cells of the hash range), over all documents. Shingles move as sorted lists of
+    KEY_BITS bits, a range of hashes at a time; what comes back has a fixed size. Shingles that fall together
+    make the order less fine, never the join less exact."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    range_bits = min(max(6, (4 * partitions - 1).bit_length()), CELL_BITS)
+    width = np.uint64(KEY_BITS - range_bits)
+
+    def keys(batches):
+        held, size = [], 0
 
+        def send():
+            x = np.sort(np.concatenate(held)) >> np.uint64(64 - KEY_BITS)
+            cut = np.searchsorted(x >> width, np.arange((1 << range_bits) + 1).astype(np.uint64))
+            some = np.flatnonzero(np.diff(cut))
+            inside = x & np.uint64((1 << int(width)) - 1)
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_coded(inside[cut[r]:cut[r + 1]].astype(
+                np.int64)) for r in some], pa.binary())], ["range", "keys"])
 
-def _sets(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
+        for batch in batches:
+            for _, x in _each(batch, k):
+                held.append(x)
+                size += len(x)
+                if size > 4_000_000:
+                    yield send()
+                    held, size = [], 0
+        if size:
+            yield send()
+
+    def count(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for r, data in zip(batch.column("range").to_pylist(), batch.column("keys"), strict=True):
+                held.setdefault(r, []).append(_decoded(data.as_py()))
+        for r, parts in held.items():
+            x = np.sort(np.concatenate(parts))
+            many = x[1:][x[1:] == x[:-1]]
+            bits = np.zeros(1 << (SEEN_BITS - range_bits), bool)
+            bits[many >> (KEY_BITS - SEEN_BITS)] = True
+            cells = np.bincount(x >> (KEY_BITS - CELL_BITS), minlength=1 << (CELL_BITS - range_bits))
+            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "bits": [np.packbits(bits).tobytes()],
+                                              "cells": [np.minimum(np.log2(cells + 1) * 4, 120).astype(np.uint8).tobytes()]})
+
+    found = (docs.select("text").mapInArrow(keys, "range int, keys binary").repartition("range")
+             .mapInArrow(count, "range int, bits binary, cells binary").collect())
+    bitmap, cells = np.zeros(1 << (SEEN_BITS - 3), np.uint8), np.zeros(1 << CELL_BITS, np.uint8)
+    for row in found:
+        for whole, part in ((bitmap, row["bits"]), (cells, row["cells"])):
+            n = len(whole) >> range_bits
+            whole[row["range"] * n:(row["range"] + 1) * n] = np.frombuffer(part, np.uint8)
+    return bitmap, cells
+
+
+def _ranks(x: np.ndarray, bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The sorted order keys of a set's hashes: those of one document first, then by frequency, then by hash."""
+    bit = (x >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+    seen = (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+    rank = np.where(seen, cells[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)] + 1, 0).astype(np.uint64)
+    return np.sort((rank << np.uint64(56)) | (x >> np.uint64(8)))
+
+
+def _sets(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n, class and, for the first document of a class in a task, its prefix and part sizes."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         seen = set()
         for batch in batches:
-            rows, sizes, names, prefixes, parts = [], [], [], [], []
+            rows, sizes, names, firsts, prefixes, parts = [], [], [], [], [], []
             for r, x in _each(batch, k):
                 rows.append(r)
                 sizes.append(len(x))
                 name = _class_of(x) if len(x) else None
                 names.append(name)
                 if name is None or name in seen:
+                    firsts.append(None)
                     prefixes.append(None)
                     parts.append(None)
                     continue
                 seen.add(name)
-                keys = np.sort((shared.value[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)] << np.uint64(56)) | (x >> np.uint64(8)))
-                prefixes.append(keys[:len(x) - -(-percent * len(x) // 100) + 1].view(np.int64))
+                keys = _ranks(x, *shared.value)[:len(x) - -(-percent * len(x) // 100) + 1]
+                # elements of one document alone have nobody to meet; they come first and keep their places
+                alone = int(np.searchsorted(keys, np.uint64(1 << 56)))
+                firsts.append(alone)
+                prefixes.append(keys[alone:].view(np.int64))
                 parts.append(np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=PARTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(
-                    prefixes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "n", "class", "prefix", "parts"])
+                    firsts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
+                ["doc_id", "n", "class", "skipped", "prefix", "parts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n int, class long, prefix array<long>, parts array<int>")
+        run, "doc_id long, n int, class long, skipped int, prefix array<long>, parts array<int>")
 
 
 def _elements(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -187,11 +250,11 @@ class Join:
             "c"), F.max("a.pos").alias("ap"), F.max("b.pos").alias("bp")).toDF("a", "b", "an", "bn", "c", "ap", "bp")
         bound = "(c + least(an - ap - 1, bn - bp - 1))"
         near = lambda x: f"100 * ({x}) >= {self.percent} * (an + bn - ({x}))"
-        pairs = pairs.filter(near(bound)).select("a", "b", "an", "bn")
+        pairs = pairs.filter(near(bound)).select("a", "b", "an", "bn", "c")
         parts = known.select(F.col("class").alias("a"), F.col("parts").alias("a_parts"))
         pairs = pairs.join(parts, "a").join(parts.toDF("b", "b_parts"), "b")
         apart = "aggregate(zip_with(a_parts, b_parts, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
-        return pairs.filter(near(f"(an + bn - {apart}) / 2")).select("a", "b", "an", "bn")
+        return pairs.filter(near(f"(an + bn - {apart}) / 2")).select("a", "b", "an", "bn", "c")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
@@ -200,34 +263,50 @@ class Join:
         same = both.withColumn("i", F.size(F.array_intersect("a_set", "b_set")))
         return same.filter(f"100 * i >= {self.percent} * (an + bn - i)").select("a", "b")
 
+    def _sided(self, posts: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """``posts`` with the root of each class's component."""
+        if roots is None:
+            return posts.withColumn("root", F.col("s.class"))
+        roots = roots.toDF("class", "root")
+        return posts.join(roots, posts["s.class"] == roots["class"], "left").select("key", "s", F.coalesce("root", "s.class").alias("root"))
+
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
-        rows = saved(_sets(self.docs, self.k, self.percent, frequency_classes(self.docs, self.k)))
-        known = saved(rows.filter("prefix is not null").select("class", "parts").dropDuplicates(["class"]))
-        posts = rows.filter("prefix is not null").select(F.posexplode("prefix").alias("pos", "key"), "class", "n")
-        # elements that several classes hold, each with the class that stands for them
-        heads = posts.groupBy("key").agg(F.min(F.struct("class", "n", "pos")).alias("a"), F.max("class").alias("last")).filter(
-            "a.class < last").select("key", "a")
-        # (tasks of their own may have sent the same class)
-        posts = saved(posts.join(heads, "key").select("key", "a", F.struct("class", "n", "pos").alias("b")).distinct())
-        first = saved(self._filtered(posts.filter("a.class < b.class").filter(self._near()), known))
-        links = saved(self._verified(first))
-        roots = saved(components(links))
-        # meetings across components
-        side = posts.select("key", F.col("b.class").alias("class"), F.col("b.n").alias("n"), F.col("b.pos").alias("pos")).join(
-            roots.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        side = saved(side)
+        rows = saved(_sets(self.docs, self.k, self.percent, frequencies(self.docs, self.k)))
+        met = rows.filter("size(prefix) > 0")
+        posts = met.select("class", "n", F.posexplode("prefix").alias("at", "key"), "skipped").select(
+            "key", F.struct("class", "n", (F.col("at") + F.col("skipped")).alias("pos")).alias("s"))
+        # elements that several classes hold (tasks of their own may have sent the same class)
+        held = posts.groupBy("key").agg(F.min("s.class").alias("x"), F.max("s.class").alias("y")).filter("x < y").select("key")
+        posts = saved(posts.join(held, "key", "left_semi").distinct())
+        known = saved(met.select("class", "parts").join(posts.select("s.class").distinct(), "class", "left_semi").dropDuplicates(["class"]))
+        links = tested = roots = None
+        for turn in range(ROUNDS):
+            side = self._sided(posts, roots)
+            heads = side.groupBy("key").agg(F.min_by(F.struct("s", "root"), F.xxhash64("s.class", F.lit(turn))).alias("h"))
+            pairs = side.join(heads, "key").filter("root <> h.root").select(F.col("h.s").alias("a"), F.col("s").alias("b"))
+            pairs = self._filtered(pairs.filter(self._near()), known)
+            # a class meets one leader in a round, the one it shares most elements with
+            pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "an", "bn"), F.struct("c", "a")).alias("p")).select(
+                F.least("p.a", "b").alias("a"), F.greatest("p.a", "b").alias("b"), F.when(F.expr("p.a < b"), F.col("p.an")).otherwise(
+                    F.col("p.bn")).alias("an"), F.when(F.expr("p.a < b"), F.col("p.bn")).otherwise(F.col("p.an")).alias("bn"))
+            pairs = saved(pairs.distinct())
+            good = saved(self._verified(pairs))
+            links, tested = (good, pairs) if links is None else (links.union(good), tested.union(pairs))
+            roots = saved(components(links))
+        # meetings across components: those outside an element's most common component with all others
+        side = saved(self._sided(posts, roots))
         most = side.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
             F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").select("key", "most")
-        open_ = side.join(most, "key").select("key", "root", "most", F.struct("class", "n", "pos").alias("s"))
+        open_ = side.join(most, "key")
         left = open_.filter("root <> most").select("key", F.col("root").alias("a_root"), F.col("s").alias("a"))
         right = open_.select("key", F.col("root").alias("b_root"), "most", F.col("s").alias("b"))
         met = left.join(right, "key").filter("a_root <> b_root and (b_root = most or a.class < b.class)").filter(self._near())
         met = met.filter(self._near(shared="least(a.pos, b.pos) + 1 + least(a.n - a.pos - 1, b.n - b.pos - 1)"))
-        met = met.select(F.when(F.expr("a.class < b.class"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.expr(
-            "a.class < b.class"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        second = saved(self._filtered(met, known).join(first.select("a", "b"), ["a", "b"], "left_anti"))
-        roots = saved(components(links.union(self._verified(second))))
+        turned = F.expr("a.class < b.class")
+        met = met.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("b"))
+        last = saved(self._filtered(met, known).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        roots = saved(components(links.union(self._verified(last))))
         of_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(
             roots.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
