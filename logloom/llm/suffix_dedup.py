@@ -30,7 +30,7 @@ from .common import chunks, saved, table, text_bytes
 
 WIDTH, ANCHOR, CHUNK, FILTER_BITS = 50, 24, 1 << 20, 27
 #: Segments of one key above which its suffixes are dealt one by one; segments held before a task sends them.
-HOT, HELD = 2_000, 400_000
+HOT, HELD = 2_000, 150_000
 NULL_ID = -(1 << 63)
 
 _RANDOM = np.random.default_rng(50_024)
@@ -156,17 +156,39 @@ def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
 
 
 _DECIDED = "doc long, crc long, start int, stop int"
-_SENT = f"bucket int, keys binary, docs binary, crcs binary, starts binary, sizes binary, blob binary, {_DECIDED}"
+_SENT = f"bucket int, pack binary, {_DECIDED}"
+_ARROW = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), ("doc", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), (
+    "stop", pa.int32())])
+
+
+def _packed(key, doc, crc, start, size, blob) -> bytes:
+    """Segments as one compressed row: their documents once, then a column after the other."""
+    both, of = np.unique(np.stack([doc, crc]), axis=1, return_inverse=True)
+    head = np.array([len(key), both.shape[1], len(blob)], np.int64)
+    parts = (head, both[0], both[1], key, of.ravel().astype(np.int32), start.astype(np.int32), size.astype(np.int32), blob)
+    raw = b"".join(x.tobytes() for x in parts)
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    raw, at = pa.decompress(data[8:], size, codec="zstd", asbytes=True), 24
+    n, docs, width = np.frombuffer(raw, np.int64, 3).tolist()
+    out = []
+    for kind, count in ((np.int64, docs), (np.int64, docs), (np.uint64, n), (np.int32, n), (np.int32, n), (np.int32, n), (np.uint8, width)):
+        out.append(np.frombuffer(raw, kind, count, at))
+        at += out[-1].nbytes
+    doc, crc, key, of, start, length, blob = out
+    return [key, doc[of], crc[of], start.astype(np.int64), length.astype(np.int64), blob]
 
 
 def _sent(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, splitters: np.ndarray) -> DataFrame:
     """Segments with repeated keys, packed by bucket, and intervals that a task could decide alone."""
     shared = docs.sparkSession.sparkContext.broadcast((bitmap, hot, splitters))
-    names = [f.split()[0] for f in _SENT.split(", ")]
 
     def batch_of(columns: dict, n: int):
-        kinds = {f.name: f.type for f in _arrow_schema()}
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(n, kinds[c]) for c in names], names)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW],
+                                          schema=_ARROW)
 
     def flush(held):
         bitmap_, hot_, splitters_ = shared.value
@@ -181,19 +203,20 @@ def _sent(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, splitters: np.nd
         d, s, e = _runs(_pairs(doc[gone], crc[gone]), start[gone], start[gone] + size[gone])
         if len(d):
             at = gone[np.searchsorted(_pairs(doc[gone], crc[gone]), d)]
-            yield batch_of({"doc": doc[at], "crc": crc[at], "start": s.astype(np.int32), "stop": e.astype(np.int32)}, len(d))
+            yield batch_of({"bucket": (doc[at] % 1024).astype(np.int32), "doc": doc[at], "crc": crc[at], "start": s.astype(np.int32),
+                            "stop": e.astype(np.int32)}, len(d))
         bucket = np.searchsorted(splitters_, key[keep], side="right")
         if len(hot_):
-            bucket[hot_[np.minimum(np.searchsorted(hot_, key[keep]), len(hot_) - 1)] == key[keep]] = -1
+            many = np.flatnonzero(hot_[np.minimum(np.searchsorted(hot_, key[keep]), len(hot_) - 1)] == key[keep])
+            bucket[many] = -1 - doc[keep[many]] % 1024  # any task may take them
         order = np.argsort(bucket, kind="stable")
         keep, bucket = keep[order], bucket[order]
         offset = np.cumsum(size) - size
         for part in np.split(np.arange(len(keep)), np.flatnonzero(np.diff(bucket)) + 1) if len(keep) else []:
             for lo in range(0, len(part), 20_000):
                 at = keep[part[lo:lo + 20_000]]
-                yield batch_of({"bucket": [int(bucket[part[0]])], "keys": [key[at].tobytes()], "docs": [doc[at].tobytes()], "crcs": [
-                    crc[at].tobytes()], "starts": [start[at].tobytes()], "sizes": [size[at].tobytes()],
-                    "blob": [_pieces(blob, offset[at], size[at]).tobytes()]}, 1)
+                yield batch_of({"bucket": [int(bucket[part[0]])], "pack": [_packed(
+                    key[at], doc[at], crc[at], start[at], size[at], _pieces(blob, offset[at], size[at]))]}, 1)
 
     def run(batches):
         bitmap_, held, count = shared.value[0], [], 0
@@ -219,11 +242,6 @@ def _sent(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, splitters: np.nd
     return docs.select("doc", "crc", "text").mapInArrow(run, _SENT)
 
 
-def _arrow_schema() -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.schema([pa.field(*(lambda n, t: (n, kinds[t]))(*f.split())) for f in _SENT.split(", ")])
-
-
 def _pairs(doc: np.ndarray, crc: np.ndarray) -> np.ndarray:
     """(doc, crc) as one sortable value."""
     out = np.empty(len(doc), [("d", np.int64), ("c", np.int64)])
@@ -286,47 +304,53 @@ def removals(docs: DataFrame) -> DataFrame:
     """doc, crc, start, stop: intervals of bytes to remove, possibly overlapping. ``docs``: doc, crc, text."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bitmap, hot, splitters = repeated_keys(docs, partitions)
-    sent = saved(_sent(docs, bitmap, hot, splitters))
+    kinds = ["doc", "crc", "start", "stop", "string"]
 
     def solve(batches):
+        """What is decided passes; cold buckets are solved; suffixes of hot keys come out one by one."""
         held, bucket = [], None
 
+        def out(doc, crc, start, stop, string=None):
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(crc, pa.int64()), pa.array(start, pa.int32()), pa.array(
+                stop, pa.int32()), pa.nulls(len(doc), pa.binary()) if string is None else pa.array(string, pa.binary())], kinds)
+
         def done():
-            parts = [np.concatenate([np.frombuffer(r[c], kind) for r in held]) for c, kind in (
-                ("keys", np.uint64), ("docs", np.int64), ("crcs", np.int64), ("starts", np.int64), ("sizes", np.int64), ("blob", np.uint8))]
+            parts = [np.concatenate(x) for x in zip(*map(_unpacked, held), strict=True)]
             at, lo, hi = _bucket(*parts)
-            return pa.RecordBatch.from_arrays([pa.array(parts[1][at]), pa.array(parts[2][at]), pa.array(lo.astype(np.int32)), pa.array(
-                hi.astype(np.int32))], ["doc", "crc", "start", "stop"])
+            return out(parts[1][at], parts[2][at], lo.astype(np.int32), hi.astype(np.int32))
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and r["bucket"] != bucket:
+            plain = batch.filter(batch.column("pack").is_null())
+            if plain.num_rows:
+                yield out(*(plain.column(c) for c in kinds[:4]))
+            for b, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack"), strict=True):
+                if not pack.is_valid:
+                    continue
+                if b < 0:
+                    _, doc, crc, start, size, blob = _unpacked(pack.as_py())
+                    counts, text = size - WIDTH + 1, blob.tobytes()
+                    of = np.repeat(np.arange(len(size)), counts)
+                    inside = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    at = (np.cumsum(size) - size)[of] + inside
+                    first = (start[of] + inside).astype(np.int32)
+                    yield out(doc[of], crc[of], first, first + WIDTH, [text[a:a + WIDTH] for a in at.tolist()])
+                    continue
+                if held and b != bucket:
                     yield done()
                     held = []
-                bucket = r["bucket"]
-                held.append(r)
+                bucket = b
+                held.append(pack.as_py())
         if held:
             yield done()
 
-    def suffixes(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                docs_, crcs, starts, sizes = (np.frombuffer(r[c], np.int64) for c in ("docs", "crcs", "starts", "sizes"))
-                counts, blob = sizes - WIDTH + 1, r["blob"]
-                of = np.repeat(np.arange(len(sizes)), counts)
-                inside = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = (np.cumsum(sizes) - sizes)[of] + inside
-                yield pa.RecordBatch.from_arrays([pa.array([blob[a:a + WIDTH] for a in at.tolist()], pa.binary()), pa.array(docs_[of]), pa.array(
-                    crcs[of]), pa.array((starts[of] + inside).astype(np.int32))], ["string", "doc", "crc", "start"])
-
-    packed = ["bucket", "keys", "docs", "crcs", "starts", "sizes", "blob"]
-    cold = sent.filter("bucket >= 0").select(*packed).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, _DECIDED)
-    out = sent.filter("bucket is null").select("doc", "crc", "start", "stop").unionByName(cold)
+    dealt = _sent(docs, bitmap, hot, splitters).repartition("bucket").sortWithinPartitions("bucket")
+    found = saved(dealt.select("bucket", "pack", "doc", "crc", "start", "stop").mapInArrow(solve, f"{_DECIDED}, string binary"))
+    out = found.filter("string is null").select("doc", "crc", "start", "stop")
     if len(hot):
-        single = sent.filter("bucket < 0").select(*packed).mapInArrow(suffixes, "string binary, doc long, crc long, start int")
+        single = found.filter("string is not null")
         owner = single.groupBy("string").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last")
         lost = single.join(owner.select("string", "owner"), "string").filter("doc > owner")
-        out = out.unionByName(lost.select("doc", "crc", "start", (F.col("start") + WIDTH).alias("stop")))
+        out = out.unionByName(lost.select("doc", "crc", "start", "stop"))
     return out
 
 
