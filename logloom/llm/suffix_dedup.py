@@ -8,8 +8,9 @@ go on to the next character. Neighbours that agree to the end are equal strings;
 A suffix is not shipped alone. Its key is the least hash of the ANCHOR-byte strings in its first WIDTH bytes:
 equal suffixes have equal keys, and neighbours in a text mostly share one, so runs of suffixes with one key
 travel as one segment of text. Equal suffixes never fall into two buckets, so no comparison crosses a border.
-Before that, keys are counted: only segments whose key occurs in several segments travel (a bitmap of fixed
-size says which, with some false positives and no misses). Of equal segments a task sends the one of
+Before that, anchors are counted with the bytes beside them: only segments with an anchor that repeats
+together with its left or its right side travel (a bitmap of fixed size says which, with some false
+positives and no misses). Of equal segments a task sends the one of
 the least doc_id; the others are decided there. Keys with very many segments, as at the edges of a passage
 that a large part of the documents share, are dealt suffix by suffix over all tasks.
 
@@ -28,9 +29,9 @@ from pyspark.sql import types as T
 
 from .common import chunks, saved, table, text_bytes
 
-WIDTH, ANCHOR, CHUNK, FILTER_BITS = 50, 24, 1 << 20, 27
+WIDTH, ANCHOR, SIDE, CHUNK, KEY_BITS, FILTER_BITS = 50, 24, 13, 1 << 20, 36, 27
 #: Segments of one key above which its suffixes are dealt one by one; segments held before a task sends them.
-HOT, HELD = 2_000, 150_000
+HOT, HELD = 2_000, 60_000
 NULL_ID = -(1 << 63)
 
 _RANDOM = np.random.default_rng(50_024)
@@ -50,32 +51,61 @@ def _fold(h: np.ndarray, gap: int, m: np.uint64, other: np.ndarray | None = None
     return h[:n] * m + other[gap:gap + n]
 
 
-def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, number of suffixes, key) of the runs of suffixes with one key, in text order."""
+def _sliding(x: np.ndarray, span: int, best) -> np.ndarray:
+    have = 1
+    while have < span:
+        step = min(have, span - have)
+        x = best(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, start, number of suffixes, key) of the runs of suffixes with one key, in text order; and of
+    every anchor (document and place of the string whose hash is a key) the segment and two hashes: of the
+    anchor with SIDE bytes before it and with SIDE bytes behind it. A string of WIDTH bytes around an anchor
+    holds one of the two whole, so a repeated string has one that repeats; 0 stands where a text ends."""
     n, none = len(data), np.zeros(0, np.int64)
+    empty = (none, none, none, np.zeros(0, np.uint64), none, np.zeros((0, 2), np.uint64))
     if n < WIDTH:
-        return none, none, none, np.zeros(0, np.uint64)
+        return empty
     h1 = _BYTE[data]
     h2 = _fold(h1, 1, _M[0])
     h4 = _fold(h2, 2, _M[1])
     h8 = _fold(h4, 4, _M[2])
     h16 = _fold(h8, 8, _M[3])
-    low = _mix(_fold(h16[:n - ANCHOR + 1], 16, _M[4], h8)[:n - ANCHOR + 1])
-    span, have = WIDTH - ANCHOR + 1, 1
-    while have < span:
-        step = min(have, span - have)
-        low = np.minimum(low[:-step], low[step:])
-        have += step
-    low = low[:n - WIDTH + 1]
-    sizes = np.diff(bounds)
-    doc = np.repeat(np.arange(len(sizes)), np.maximum(sizes - WIDTH + 1, 0))
-    at = np.arange(len(doc)) + np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(np.maximum(sizes - WIDTH + 1, 0))])[:-1],
-                                         np.maximum(sizes - WIDTH + 1, 0))
+    raw = _mix(_fold(h16[:n - ANCHOR + 1], 16, _M[4], h8)[:n - ANCHOR + 1])
+    span = WIDTH - ANCHOR + 1
+    low = _sliding(raw, span, np.minimum)[:n - WIDTH + 1]
+    rooms = np.maximum(np.diff(bounds) - WIDTH + 1, 0)
+    doc = np.repeat(np.arange(len(rooms)), rooms)
+    at = np.arange(len(doc)) + np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(rooms)])[:-1], rooms)
     if not len(at):
-        return none, none, none, np.zeros(0, np.uint64)
+        return empty
     keys = low[at]
     new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]))
-    return doc[new], at[new] - bounds[doc[new]], np.diff(np.append(new, len(at))), keys[new]
+    first, count, key = at[new], np.diff(np.append(new, len(at))), keys[new]
+    # the anchors of a segment lie between its start and the last place that its last suffix holds one
+    real = np.zeros(n + 1, np.uint64)  # only suffixes within a text count
+    real[at] = keys
+    top = _sliding(np.concatenate([np.zeros(span - 1, np.uint64), real]), span, np.maximum)[:len(raw)]
+    places = np.flatnonzero(top == raw)
+    lo, hi = np.searchsorted(places, first), np.searchsorted(places, first + count + span - 1)
+    of = np.repeat(np.arange(len(first)), hi - lo)
+    place = places[np.arange(len(of)) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)]
+    own = raw[place] == key[of]
+    of, place = of[own], place[own]
+    whole = ANCHOR + SIDE
+    wide = _fold(h16, 16, _M[5])
+    m = max(n - whole + 1, 0)
+    wide = _mix(wide[:m] * _M[6] + h4[32:32 + m] * _M[7] + h1[36:36 + m]) | np.uint64(1)
+    begin, end = bounds[doc[new]][of], bounds[doc[new] + 1][of]
+    left, right = place - SIDE, place
+    sides = np.zeros((len(of), 2), np.uint64)
+    for j, x in enumerate((left, right)):
+        ok = (x >= begin) & (x + whole <= end)
+        sides[ok, j] = wide[x[ok]]
+    return doc[new], first - bounds[doc[new]], count, key, of, sides
 
 
 def _pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -94,57 +124,74 @@ def _content(blob: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return _mix(np.add.reduceat(_BYTE[blob] * powers[place], starts) + sizes.astype(np.uint64))
 
 
+def _coded(keys: np.ndarray) -> bytes:
+    """Sorted keys as 16-bit gaps; a gap of 65535 or more takes fillers of 65535 first."""
+    gaps = np.diff(keys, prepend=np.int64(0))
+    fill = gaps // 65535
+    out = np.full(len(keys) + int(fill.sum()), 65535, np.uint16)
+    out[np.cumsum(fill + 1) - 1] = gaps % 65535
+    return out.tobytes()
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint16)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 65535]
+
+
 def repeated_keys(docs: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bitmap of the keys that occur more than once, keys of more than HOT segments, splitters of the keys).
-    Keys move as sorted arrays, a range of the hash values at a time; each range owns a part of the bitmap."""
-    ranges = 1 << max(4, (4 * partitions - 1).bit_length())
-    shift = np.uint64(64 - ranges.bit_length() + 1)
+    """(bitmap of the side hashes that occur more than once, keys of more than HOT segments, splitters of the
+    keys), keys by their first KEY_BITS bits. Hashes move as sorted lists, a range of values at a time; each
+    range owns a part of the bitmap, so what comes back has a fixed size and a key is hot only with HOT
+    segments or more."""
+    range_bits = max(4, (4 * partitions - 1).bit_length())
+    width = KEY_BITS - range_bits
 
     def keys(batches):
-        held, size = [], 0
+        held, size = ([], []), 0
 
         def send():
-            x = np.sort(np.concatenate(held))
-            cut = np.searchsorted(x >> shift, np.arange(ranges + 1).astype(np.uint64))
-            some = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([x[cut[r]:cut[r + 1]].tobytes() for r in some], pa.binary())],
-                                              ["range", "keys"])
+            for kind, parts in enumerate(held):
+                x = (np.sort(np.concatenate(parts)) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+                cut = np.searchsorted(x >> width, np.arange((1 << range_bits) + 1))
+                some = np.flatnonzero(np.diff(cut))
+                inside = x & ((1 << width) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array(
+                    [_coded(inside[cut[r]:cut[r + 1]]) for r in some], pa.binary())], ["range", "kind", "keys"])
 
         for batch in batches:
             data, bounds = text_bytes(batch.column("text"))
             for i, j in chunks(bounds, CHUNK):
-                k = segments(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])[3]
-                held.append(k)
-                size += len(k)
+                found = segments(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])
+                held[0].append(found[5][found[5] > 0])
+                held[1].append(found[3])
+                size += len(held[0][-1])
                 if size > 4_000_000:
-                    yield send()
-                    held, size = [], 0
-        if size:
-            yield send()
+                    yield from send()
+                    held, size = ([], []), 0
+        if held[0]:
+            yield from send()
 
     def count(batches):
-        held: dict[int, list] = {}
+        held: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            for r, k in zip(batch.column("range").to_pylist(), batch.column("keys"), strict=True):
-                held.setdefault(r, []).append(np.frombuffer(k.as_py(), np.uint64))
-        for r, parts in held.items():
-            x, n = np.unique(np.concatenate(parts), return_counts=True)
-            many = x[n > 1]
-            bits = np.zeros(max(1, (1 << FILTER_BITS) // ranges), bool)
-            bits[(many >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - r * len(bits)] = True
-            hot = x[n > HOT]
-            sample = many[len(many) // 64::max(1, len(many) // 32)]
+            for r, kind, k in zip(batch.column("range").to_pylist(), batch.column("kind").to_pylist(), batch.column("keys"), strict=True):
+                held.setdefault(r, ([], []))[kind].append(_decoded(k.as_py()))
+        for r, (sides, parts) in held.items():
+            x = np.sort(np.concatenate([np.zeros(0, np.int64), *sides]))
+            bits = np.zeros(1 << max(0, FILTER_BITS - range_bits), bool)
+            bits[x[1:][x[1:] == x[:-1]] >> (KEY_BITS - FILTER_BITS)] = True
+            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+            k += r << width
             yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "bits": [np.packbits(bits).tobytes()],
-                                              "hot": [hot.tobytes()], "sample": [sample.tobytes()]})
+                                              "hot": [k[n > HOT].tobytes()], "sample": [k[len(k) // 64::max(1, len(k) // 32)].tobytes()]})
 
-    # one row a range: the bitmap has 2**FILTER_BITS bits in all, a key is hot only with HOT segments or more
-    found = (docs.select("text").mapInArrow(keys, "range int, keys binary").repartition("range")
+    found = (docs.select("text").mapInArrow(keys, "range int, kind int, keys binary").repartition("range")
              .mapInArrow(count, "range int, bits binary, hot binary, sample binary").collect())
     bitmap = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    width = len(bitmap) // ranges
+    part = len(bitmap) >> range_bits
     for row in found:
-        bitmap[row["range"] * width:(row["range"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    join = lambda c: np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[c], np.uint64) for r in found)]))
+        bitmap[row["range"] * part:(row["range"] + 1) * part] = np.frombuffer(row["bits"], np.uint8)
+    join = lambda c: np.sort(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[c], np.int64) for r in found)]))
     sample = join("sample")
     return bitmap, join("hot"), sample[np.linspace(0, len(sample) - 1, 4 * partitions).astype(int)] if len(sample) else sample
 
@@ -205,9 +252,10 @@ def _sent(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, splitters: np.nd
             at = gone[np.searchsorted(_pairs(doc[gone], crc[gone]), d)]
             yield batch_of({"bucket": (doc[at] % 1024).astype(np.int32), "doc": doc[at], "crc": crc[at], "start": s.astype(np.int32),
                             "stop": e.astype(np.int32)}, len(d))
-        bucket = np.searchsorted(splitters_, key[keep], side="right")
+        short = (key[keep] >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+        bucket = np.searchsorted(splitters_, short, side="right")
         if len(hot_):
-            many = np.flatnonzero(hot_[np.minimum(np.searchsorted(hot_, key[keep]), len(hot_) - 1)] == key[keep])
+            many = np.flatnonzero(hot_[np.minimum(np.searchsorted(hot_, short), len(hot_) - 1)] == short)
             bucket[many] = -1 - doc[keep[many]] % 1024  # any task may take them
         order = np.argsort(bucket, kind="stable")
         keep, bucket = keep[order], bucket[order]
@@ -225,9 +273,10 @@ def _sent(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, splitters: np.nd
             ids, crcs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "crc"))
             for i, j in chunks(bounds, CHUNK):
                 part = data[bounds[i]:bounds[j]]
-                doc, start, n, key = segments(part, bounds[i:j + 1] - bounds[i])
-                bit = key >> np.uint64(64 - FILTER_BITS)
-                some = np.flatnonzero(bitmap_[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8) & 1)
+                doc, start, n, key, of, sides = segments(part, bounds[i:j + 1] - bounds[i])
+                bit = (sides >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                seen = (bitmap_[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 & (sides > 0)
+                some = np.unique(of[seen.any(axis=1)])
                 if not len(some):
                     continue
                 doc, start, size = doc[some], start[some], n[some] + WIDTH - 1
