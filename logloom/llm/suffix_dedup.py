@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import chunks, saved, table, text_bytes
 
-WIDTH, ANCHOR, SIDE, CHUNK, KEY_BITS, FILTER_BITS = 50, 24, 13, 1 << 20, 36, 27
+WIDTH, ANCHOR, SIDE, CHUNK, KEY_BITS, FILTER_BITS = 50, 24, 13, 1 << 18, 36, 27
 #: Segments of one key above which its suffixes are dealt one by one; segments held before a task sends them.
 HOT, HELD = 2_000, 60_000
 NULL_ID = -(1 << 63)
@@ -165,7 +165,7 @@ def repeated_keys(docs: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndar
                 held[0].append(found[5][found[5] > 0])
                 held[1].append(found[3])
                 size += len(held[0][-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield from send()
                     held, size = ([], []), 0
         if held[0]:
@@ -193,7 +193,7 @@ def repeated_keys(docs: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndar
         bitmap[row["range"] * part:(row["range"] + 1) * part] = np.frombuffer(row["bits"], np.uint8)
     join = lambda c: np.sort(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[c], np.int64) for r in found)]))
     sample = join("sample")
-    return bitmap, join("hot"), sample[np.linspace(0, len(sample) - 1, 4 * partitions).astype(int)] if len(sample) else sample
+    return bitmap, join("hot"), sample[np.linspace(0, len(sample) - 1, 16 * partitions).astype(int)] if len(sample) else sample
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
