@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from .common import chunks, saved, table, text_bytes
 
 WIDTH, ANCHOR, SIDE, CHUNK, KEY_BITS, FILTER_BITS = 50, 24, 13, 1 << 18, 36, 27
-#: Segments of one key above which its suffixes are dealt one by one; segments held before a task sends them.
-HOT, HELD = 2_000, 60_000
+#: Segments of one key (about 3 MB of text at this number, as much as a task can hold of one key) above which
+#: its suffixes are dealt one by one; segments held before a task sends them.
+HOT, HELD = 50_000, 60_000
 NULL_ID = -(1 << 63)
 
 _RANDOM = np.random.default_rng(50_024)
