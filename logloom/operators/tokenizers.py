@@ -256,30 +256,31 @@ def json_entries(v: str, jtext: str, depth: int = JSON_DEPTH) -> str:
 
 # ---------------------------------------------------------------- XML
 def _xml_tokens(text: str | None) -> list[tuple[str, str]] | None:
+    """Tokens of one document from its stream of start and end events: only the open elements are held, so
+    depth costs no recursion and finished parts are freed. None if it isn't well formed."""
     if text is None:
         return None
-    start = text.find("<")
+    local = lambda name: name.rpartition("}")[2]
+    parser = ET.XMLPullParser(("start", "end"))
+    found: list[tuple[int, str, str]] = []  # place of the element in the document, key, value
+    open_: list[tuple[int, str]] = []
     try:
-        root = ET.fromstring(text[max(start, 0):])
+        parser.feed(text[max(text.find("<"), 0):])
+        parser.close()
+        for place, (event, element) in enumerate(parser.read_events()):
+            if event == "start":
+                path = ".".join([*(p for _, p in open_[-1:]), local(element.tag)])
+                open_.append((place, path))
+                found += [(place, f"{path}@{local(a)}", v) for a, v in element.attrib.items() if a != "Name"]
+                continue
+            place, path = open_.pop()
+            value, label = (element.text or "").strip(), element.attrib.get("Name")
+            if value and (label is not None or not len(element)):
+                found.append((place, path if label is None else label, value))
     except (ET.ParseError, ValueError):
         return None
-    tokens: dict[str, str] = {}
-    todo = [(root, "")]
-    while todo:
-        node, parent = todo.pop()
-        tag = node.tag.rpartition("}")[2]
-        path = parent + "." + tag if parent else tag
-        label = node.get("Name")
-        for name, value in node.items():
-            if name != "Name":
-                tokens[path + "@" + name.rpartition("}")[2]] = value
-        body = (node.text or "").strip()
-        if body and label is not None:
-            tokens[label] = body
-        elif body and len(node) == 0:
-            tokens[path] = body
-        todo.extend((child, path) for child in reversed(node))
-    return list(tokens.items())
+    found.sort(key=lambda entry: entry[0])
+    return list({key: value for _, key, value in found}.items())
 
 
 def _xml_batches(payload: Iterator[pd.Series]) -> Iterator[pd.Series]:

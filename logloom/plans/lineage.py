@@ -13,7 +13,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not shared and sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
-    root = shared or tempfile.mkdtemp(prefix="logloom-checkpoint-")
+    if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = shared or tempfile.mkdtemp(prefix="logloom-checkpoint-")  # one machine, so its folder is shared
     sc.setCheckpointDir(root)
     return root
 
