@@ -32,6 +32,8 @@ def min_cost_flow(supply: dict[int, int], capacity: dict[int, int]) -> dict[tupl
     graph source -> old -> new -> sink. Supplies may exceed no capacity in total."""
     if sum(supply.values()) > sum(capacity.values()):
         raise ValueError("the new shards can't hold the rows")
+    if not supply:
+        return {}
     heads, caps, costs, out = [], [], [], {}
 
     def edge(u, v, cap, cost):
