@@ -107,7 +107,7 @@ class Vocabulary:
                         break
                 if not known:
                     break
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) > 400_000:
                 self._follows.clear()
             self._follows[left, right] = known
         return known
@@ -148,7 +148,7 @@ def _vocabulary(path: str) -> Vocabulary:
 @functools.cache
 def _encoder(path: str) -> PieceEncoder:
     v = _vocabulary(path)
-    return PieceEncoder(v.encode_words, v.special)
+    return PieceEncoder(v.encode_words, v.special, memory=500_000)
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str | None = None) -> DataFrame:
@@ -180,8 +180,8 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", tokenizer: st
         parts = _vocabulary(path).bytes_of
         for batch in batches:
             column = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
-            flat, bounds = column.flatten().to_pylist(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(False))])
-            out = [b"".join(map(parts.__getitem__, flat[a:b])).decode("utf-8", "replace")
+            flat, bounds = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(False))])
+            out = [b"".join(map(parts.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace")
                    for a, b in zip(bounds[:-1].astype(int).tolist(), bounds[1:].astype(int).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], [*names, text])
 
