@@ -3,7 +3,8 @@
 A document's set is its distinct shingles of ``k`` words (64-bit hashes). All shingles are ordered rare first:
 those of a single document, then by frequencies counted over the whole table in 2**18 cells, ties by hash. Two sets of similarity t share an
 element among their first n - ceil(t n) + 1, so documents meet on those prefixes only. Candidates pass the
-length filter, the positional filter (shared prefix elements plus what can follow them) and the suffix filter
+length filter, the positional filter (shared prefix elements plus what can follow them; elements of one class
+alone count for nobody) and the suffix filter
 (sizes of the sets in 32 fixed parts of the hash range bound their distance from below); then the sets are
 compared, once for a pair.
 
@@ -33,6 +34,10 @@ CELL_BITS, KEY_BITS, SEEN_BITS, PARTS, FILTER_BITS, CHUNK = 18, 36, 27, 32, 24,
 #: Rounds in which a class meets the likeliest of its elements' leaders, before the rest is compared.
 ROUNDS = 2
 
+#: What two classes that meet at an element can share at most: elements of one class alone come first and are shared with
+#: nobody, then those up to the meeting, then those behind it.
+_MOST = "least(a.pos - a.own, b.pos - b.own) + 1 + least(a.n - a.pos - 1, b.n - b.pos - 1)"
+
 _RANDOM = np.random.default_rng(20_011)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -275,7 +280,7 @@ class Join:
         rows = saved(_sets(self.docs, self.k, self.percent, frequencies(self.docs, self.k)))
         met = rows.filter("size(prefix) > 0")
         posts = met.select("class", "n", F.posexplode("prefix").alias("at", "key"), "skipped").select(
-            "key", F.struct("class", "n", (F.col("at") + F.col("skipped")).alias("pos")).alias("s"))
+            "key", F.struct("class", "n", (F.col("at") + F.col("skipped")).alias("pos"), F.col("skipped").alias("own")).alias("s"))
         # elements that several classes hold (tasks of their own may have sent the same class)
         held = posts.groupBy("key").agg(F.min("s.class").alias("x"), F.max("s.class").alias("y")).filter("x < y").select("key")
         posts = saved(posts.join(held, "key", "left_semi").distinct())
@@ -283,9 +288,11 @@ class Join:
         links = tested = roots = None
         for turn in range(ROUNDS):
             side = self._sided(posts, roots)
-            heads = side.groupBy("key").agg(F.min_by(F.struct("s", "root"), F.xxhash64("s.class", F.lit(turn))).alias("h"))
+            # first the class with the smallest share of elements of its own (the middle of a group of near copies), then any
+            middle = F.col("s.own") / F.col("s.n") if turn == 0 else F.lit(0.0)
+            heads = side.groupBy("key").agg(F.min_by(F.struct("s", "root"), F.struct(middle, F.xxhash64("s.class", F.lit(turn)))).alias("h"))
             pairs = side.join(heads, "key").filter("root <> h.root").select(F.col("h.s").alias("a"), F.col("s").alias("b"))
-            pairs = self._filtered(pairs.filter(self._near()), known)
+            pairs = self._filtered(pairs.filter(self._near()).filter(self._near(shared=_MOST)), known)
             # a class meets one leader in a round, the one it shares most elements with
             pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "an", "bn"), F.struct("c", "a")).alias("p")).select(
                 F.least("p.a", "b").alias("a"), F.greatest("p.a", "b").alias("b"), F.when(F.expr("p.a < b"), F.col("p.an")).otherwise(
@@ -302,7 +309,7 @@ class Join:
         left = open_.filter("root <> most").select("key", F.col("root").alias("a_root"), F.col("s").alias("a"))
         right = open_.select("key", F.col("root").alias("b_root"), "most", F.col("s").alias("b"))
         met = left.join(right, "key").filter("a_root <> b_root and (b_root = most or a.class < b.class)").filter(self._near())
-        met = met.filter(self._near(shared="least(a.pos, b.pos) + 1 + least(a.n - a.pos - 1, b.n - b.pos - 1)"))
+        met = met.filter(self._near(shared=_MOST))
         turned = F.expr("a.class < b.class")
         met = met.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("b"))
         last = saved(self._filtered(met, known).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
