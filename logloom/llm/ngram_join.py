@@ -3,8 +3,8 @@
 A document's set is its distinct shingles of ``k`` words (64-bit hashes). All shingles are ordered rare first:
 those of a single document, then by frequencies counted over the whole table in 2**18 cells, ties by hash. Two sets of similarity t share an
 element among their first n - ceil(t n) + 1, so documents meet on those prefixes only. Candidates pass the
-length filter, the positional filter (shared prefix elements plus what can follow them; elements of one class
-alone count for nobody) and the suffix filter
+length filter, the positional filter (shared prefix elements plus what can follow them; elements that
+no other prefix holds count for nobody) and the suffix filter
 (sizes of the sets in 32 fixed parts of the hash range bound their distance from below); then the sets are
 compared, once for a pair.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, saved, table, text_bytes
@@ -34,8 +34,7 @@ CELL_BITS, KEY_BITS, SEEN_BITS, PARTS, FILTER_BITS, CHUNK = 18, 36, 27, 32, 24,
 #: Rounds in which a class meets the likeliest of its elements' leaders, before the rest is compared.
 ROUNDS = 2
 
-#: What two classes that meet at an element can share at most: elements of one class alone come first and are shared with
-#: nobody, then those up to the meeting, then those behind it.
+#: What two classes that meet at an element can share at most: those up to it that other prefixes hold too, and those behind it.
 _MOST = "least(a.pos - a.own, b.pos - b.own) + 1 + least(a.n - a.pos - 1, b.n - b.pos - 1)"
 
 _RANDOM = np.random.default_rng(20_011)
@@ -280,10 +279,13 @@ class Join:
         rows = saved(_sets(self.docs, self.k, self.percent, frequencies(self.docs, self.k)))
         met = rows.filter("size(prefix) > 0")
         posts = met.select("class", "n", F.posexplode("prefix").alias("at", "key"), "skipped").select(
-            "key", F.struct("class", "n", (F.col("at") + F.col("skipped")).alias("pos"), F.col("skipped").alias("own")).alias("s"))
+            "key", F.struct("class", "n", (F.col("at") + F.col("skipped")).alias("pos")).alias("s"))
         # elements that several classes hold (tasks of their own may have sent the same class)
         held = posts.groupBy("key").agg(F.min("s.class").alias("x"), F.max("s.class").alias("y")).filter("x < y").select("key")
-        posts = saved(posts.join(held, "key", "left_semi").distinct())
+        posts = posts.join(held, "key", "left_semi").distinct()
+        # what stands before an element and is in no other prefix is shared with nobody met there: own counts it
+        before = F.row_number().over(Window.partitionBy("s.class").orderBy("s.pos"))
+        posts = saved(posts.withColumn("s", F.struct("s.class", "s.n", "s.pos", (F.col("s.pos") + 1 - before).alias("own"))))
         known = saved(met.select("class", "parts").join(posts.select("s.class").distinct(), "class", "left_semi").dropDuplicates(["class"]))
         links = tested = roots = None
         for turn in range(ROUNDS):
