@@ -47,6 +47,11 @@ _VALUE = np.where(_SPACE, np.uint64(0), _BYTE[_LOWER])
 _STEP, _PLACE = np.uint64(0x9E3779B97F4A7C15), _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def _apart(a: str, b: str) -> str:
+    """The SQL of the suffix filter's distance: the sum over the parts of what their sizes differ by."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -257,8 +262,7 @@ class Join:
         pairs = pairs.filter(near(bound)).select("a", "b", "an", "bn", "c")
         parts = known.select(F.col("class").alias("a"), F.col("parts").alias("a_parts"))
         pairs = pairs.join(parts, "a").join(parts.toDF("b", "b_parts"), "b")
-        apart = "aggregate(zip_with(a_parts, b_parts, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
-        return pairs.filter(near(f"(an + bn - {apart}) / 2")).select("a", "b", "an", "bn", "c")
+        return pairs.filter(near(f"(an + bn - {_apart('a_parts', 'b_parts')}) / 2")).select("a", "b", "an", "bn", "c")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
@@ -307,11 +311,13 @@ class Join:
         side = saved(self._sided(posts, roots))
         most = side.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
             F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").select("key", "most")
-        open_ = side.join(most, "key")
+        # the part sizes travel along here, so that a pair that they rule out leaves no row
+        open_ = saved(side.join(most, "key").join(known, F.col("s.class") == known["class"]).select("key", "root", "most", F.col(
+            "s").withField("parts", F.col("parts")).alias("s")))
         left = open_.filter("root <> most").select("key", F.col("root").alias("a_root"), F.col("s").alias("a"))
         right = open_.select("key", F.col("root").alias("b_root"), "most", F.col("s").alias("b"))
         met = left.join(right, "key").filter("a_root <> b_root and (b_root = most or a.class < b.class)").filter(self._near())
-        met = met.filter(self._near(shared=_MOST))
+        met = met.filter(self._near(shared=_MOST)).filter(self._near(shared=f"(a.n + b.n - {_apart('a.parts', 'b.parts')}) / 2"))
         turned = F.expr("a.class < b.class")
         met = met.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("b"))
         last = saved(self._filtered(met, known).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
