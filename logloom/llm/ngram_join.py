@@ -5,8 +5,9 @@ those of a single document, then by frequencies counted over the whole table in
 element among their first n - ceil(t n) + 1, so documents meet on those prefixes only. Candidates pass the
 length filter, the positional filter (shared prefix elements plus what can follow them; elements that
 no other prefix holds count for nobody) and the suffix filter
-(sizes of the sets in 32 fixed parts of the hash range bound their distance from below); then the sets are
-compared, once for a pair.
+(sizes of the sets in 32 fixed parts of the hash range bound their distance from below), which across components is preceded by a cheaper bound of the same kind (bitmaps of
+the parities of 1,024 hash cells: every element that one set holds alone turns one bit); then the sets are compared,
+once for a pair.
 
 No group is expanded into all its pairs. Equal sets form one class and meet as one. First, each prefix
 element has a leader, a class is compared with the leader that it shares most elements with, and components
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, saved, table, text_bytes
 from .components import components
 
-CELL_BITS, KEY_BITS, SEEN_BITS, PARTS, FILTER_BITS, CHUNK = 18, 36, 27, 32, 24, 1 << 20
+CELL_BITS, KEY_BITS, SEEN_BITS, PARTS, FILTER_BITS, CHUNK, SKETCH = 18, 36, 27, 32, 24, 1 << 20, 1024
 #: Rounds in which a class meets the likeliest of its elements' leaders, before the rest is compared.
 ROUNDS = 2
 
@@ -52,6 +53,11 @@ def _apart(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
 
 
+def _turned(a: str, b: str) -> str:
+    """The SQL of the bits that differ between two sketches, at most the number of elements that one set holds alone."""
+    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH // 64))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -179,13 +185,13 @@ def _ranks(x: np.ndarray, bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, class and, for the first document of a class in a task, its prefix and part sizes."""
+    """doc_id, n, class and, for the first document of a class in a task, its prefix, part sizes and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         seen = set()
         for batch in batches:
-            rows, sizes, names, firsts, prefixes, parts = [], [], [], [], [], []
+            rows, sizes, names, firsts, prefixes, parts, sketches = [], [], [], [], [], [], []
             for r, x in _each(batch, k):
                 rows.append(r)
                 sizes.append(len(x))
@@ -195,6 +201,7 @@ def _sets(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.nda
                     firsts.append(None)
                     prefixes.append(None)
                     parts.append(None)
+                    sketches.append(None)
                     continue
                 seen.add(name)
                 keys = _ranks(x, *shared.value)[:len(x) - -(-percent * len(x) // 100) + 1]
@@ -203,13 +210,15 @@ def _sets(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.nda
                 firsts.append(alone)
                 prefixes.append(keys[alone:].view(np.int64))
                 parts.append(np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                odd = np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+                sketches.append(np.packbits(odd.astype(bool)).view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(
-                    firsts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
-                ["doc_id", "n", "class", "skipped", "prefix", "parts"])
+                    firsts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())), pa.array(
+                    sketches, pa.list_(pa.int64()))], ["doc_id", "n", "class", "skipped", "prefix", "parts", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n int, class long, skipped int, prefix array<long>, parts array<int>")
+        run, "doc_id long, n int, class long, skipped int, prefix array<long>, parts array<int>, sketch array<long>")
 
 
 def _elements(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -290,7 +299,7 @@ class Join:
         # what stands before an element and is in no other prefix is shared with nobody met there: own counts it
         before = F.row_number().over(Window.partitionBy("s.class").orderBy("s.pos"))
         posts = saved(posts.withColumn("s", F.struct("s.class", "s.n", "s.pos", (F.col("s.pos") + 1 - before).alias("own"))))
-        known = saved(met.select("class", "parts").join(posts.select("s.class").distinct(), "class", "left_semi").dropDuplicates(["class"]))
+        known = saved(met.select("class", "parts", "sketch").join(posts.select("s.class").distinct(), "class", "left_semi").dropDuplicates(["class"]))
         links = tested = roots = None
         for turn in range(ROUNDS):
             side = self._sided(posts, roots)
@@ -311,13 +320,13 @@ class Join:
         side = saved(self._sided(posts, roots))
         most = side.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
             F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").select("key", "most")
-        # the part sizes travel along here, so that a pair that they rule out leaves no row
+        # the sketches travel along here, so that a pair that they rule out leaves no row
         open_ = saved(side.join(most, "key").join(known, F.col("s.class") == known["class"]).select("key", "root", "most", F.col(
-            "s").withField("parts", F.col("parts")).alias("s")))
+            "s").withField("sketch", F.col("sketch")).alias("s")))
         left = open_.filter("root <> most").select("key", F.col("root").alias("a_root"), F.col("s").alias("a"))
         right = open_.select("key", F.col("root").alias("b_root"), "most", F.col("s").alias("b"))
         met = left.join(right, "key").filter("a_root <> b_root and (b_root = most or a.class < b.class)").filter(self._near())
-        met = met.filter(self._near(shared=_MOST)).filter(self._near(shared=f"(a.n + b.n - {_apart('a.parts', 'b.parts')}) / 2"))
+        met = met.filter(self._near(shared=_MOST)).filter(self._near(shared=f"(a.n + b.n - ({_turned('a.sketch', 'b.sketch')})) / 2"))
         turned = F.expr("a.class < b.class")
         met = met.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("b"))
         last = saved(self._filtered(met, known).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
