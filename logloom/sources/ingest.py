@@ -40,25 +40,30 @@ def split_lines(df: DataFrame, col: str = "value", channel: str = "file:log") ->
     return lines.selectExpr(*df.columns, "line_no", f"{strip('_line')} AS line", f"'{channel}' AS channel").filter("line <> ''")
 
 
-BATCH_BODY = "events ARRAY<STRUCT<raw: VARIANT, channel: STRING, source_hint: STRING>>"
+BATCH_BODY = "events ARRAY<STRUCT<raw: STRING, channel: STRING, source_hint: STRING>>"
 
 
 def explode_batches(df: DataFrame, body: str = "body") -> DataFrame:
     """Batch bodies {"events": [...]} -> one row per event; a missing ``raw`` sets ``error``.
 
-    Objects and lists become JSON text, strings stay as they are.
+    Strings are unquoted; objects and lists become JSON text with their keys in the order sent, but
+    ``from_json`` rewrites fractions (2.50 as 2.5) and drops blanks.  ``read_batch_json`` doesn't.
     """
     parsed = df.select("*", F.from_json(F.col(body), BATCH_BODY).alias("_b"))
-    rows = parsed.select(*df.columns, F.posexplode("_b.events").alias("event_no", "_e")).filter("_e IS NOT NULL")
+    return _batch_events(parsed, "_b.events", df.columns)
+
+
+def _batch_events(parsed: DataFrame, events: str, keep: list[str]) -> DataFrame:
+    rows = parsed.select(*keep, F.posexplode(events).alias("event_no", "_e")).filter("_e IS NOT NULL")
     return rows.selectExpr(
-        *df.columns, "event_no", "coalesce(_e.channel, 'http') AS channel", "_e.source_hint AS source_hint",
-        "CAST(CAST(_e.raw AS STRING) AS BINARY) AS raw",
-        "CASE WHEN _e.raw IS NULL OR is_variant_null(_e.raw) THEN 'missing \\'raw\\' field' END AS error")
+        *keep, "event_no", "coalesce(_e.channel, 'http') AS channel", "_e.source_hint AS source_hint",
+        "CAST(_e.raw AS BINARY) AS raw",
+        "CASE WHEN _e.raw IS NULL THEN 'missing \\'raw\\' field' END AS error")
 
 
 def read_batch_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of files that hold one body each."""
-    rows = explode_batches(spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")).drop("body")
+    """(events, rejects) of files that hold one body each; objects, lists and numbers keep their exact text."""
+    rows = _batch_events(spark.read.schema(BATCH_BODY).json(path, multiLine=True), "events", [])
     return rows.filter("error IS NULL").drop("error"), rows.filter("error IS NOT NULL")
 
 
@@ -140,18 +145,24 @@ def read_normalized(spark: SparkSession, path: str, source: str | None = None, d
 
 
 def mint_ids(df: DataFrame, row_key: str, raw: str = "raw", channel: str = "channel",
-             source: str | None = None) -> DataFrame:
+             source: str | None = None, number_equal: bool = False) -> DataFrame:
     """Adds event_id, sha256, size_bytes and raw_ref.
 
     The id is a hash of (channel, row key, content hash) in UUID shape: a retried
     task or a second action yields the same id, so archive and events stay linked.
+    Where the row key doesn't tell equal lines apart (a file name), ``number_equal`` numbers
+    them: equal rows are interchangeable, so the ids of a retry are the same set.  It shuffles
+    on (channel, row key, hash); the equal lines of one key go through one task as a stream.
     """
     keep = [f"`{c}`" for c in df.columns if c not in ("event_id", "sha256", "size_bytes", "raw_ref")]
     df = df.selectExpr(*keep, f"sha2(`{raw}`, 256) AS sha256", f"CAST(octet_length(`{raw}`) AS BIGINT) AS size_bytes")
+    if number_equal:
+        df = df.selectExpr("*", f"row_number() OVER (PARTITION BY `{channel}`, {row_key}, sha256 ORDER BY sha256) AS _nth")
+        row_key = f"concat_ws('#', CAST({row_key} AS STRING), nullif(_nth, 1))"
     df = df.selectExpr("*", f"sha2(concat_ws('|', `{channel}`, CAST({row_key} AS STRING), sha256), 256) AS _h")
     uid = ("concat_ws('-', substr(_h, 1, 8), substr(_h, 9, 4), substr(_h, 13, 4), substr(_h, 17, 4),"
            " substr(_h, 21, 12))")
-    df = df.selectExpr("* EXCEPT (_h)", f"{uid} AS event_id")
+    df = df.selectExpr(f"* EXCEPT (_h{', _nth' if number_equal else ''})", f"{uid} AS event_id")
     hint = "source_hint" if "source_hint" in df.columns else "CAST(NULL AS STRING)"
     name = source or f"coalesce({hint}, substring_index(`{channel}`, ':', -1))"
     return df.selectExpr("*", f"concat('local://', {name}, '/', event_id) AS raw_ref")

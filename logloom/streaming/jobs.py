@@ -48,14 +48,15 @@ def parse_stream(raw: DataFrame, registry: Registry, events_path: str, dlq_path:
                  row_key: str = "file", **trigger) -> StreamingQuery:
     """Raw lines (``raw``, ``channel``, ``ingest_time``) -> event and DLQ tables.
 
-    At-least-once input plus overwritten batch folders gives each line once.  An
+    At-least-once input plus overwritten batch folders gives each line once; equal lines of
+    one file, which a batch holds whole, keep ids of their own.  An
     error of a required table fails the batch (it is retried from the
     checkpoint); an ``extra`` sink may fail without stopping the others.
     """
     prepare_session(raw.sparkSession)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        minted = batch if "event_id" in batch.columns else mint_ids(batch, row_key)
+        minted = batch if "event_id" in batch.columns else mint_ids(batch, row_key, number_equal=True)
         flat = parse_flat(minted.withColumn("text", F.expr("make_valid_utf8(CAST(raw AS STRING))")), registry)
         required = table_sinks(events_path, dlq_path, batch_id, archive_path)
         failures = sinks.fan_out(flat, {**required, **(extra or {})})
