@@ -45,13 +45,14 @@ def table_sinks(events_path: str, dlq_path: str, batch_id: int, archive_path: st
 
 def parse_stream(raw: DataFrame, registry: Registry, events_path: str, dlq_path: str, checkpoint: str,
                  archive_path: str | None = None, extra: Mapping[str, Sink] | None = None,
-                 row_key: str = "file", **trigger) -> StreamingQuery:
+                 row_key: str = "file", report: Callable[[int, dict], None] | None = None, **trigger) -> StreamingQuery:
     """Raw lines (``raw``, ``channel``, ``ingest_time``) -> event and DLQ tables.
 
     At-least-once input plus overwritten batch folders gives each line once; equal lines of
     one file, which a batch holds whole, keep ids of their own.  An
     error of a required table fails the batch (it is retried from the
-    checkpoint); an ``extra`` sink may fail without stopping the others.
+    checkpoint); an ``extra`` sink may fail without stopping the others: ``report``
+    gets the batch id and the errors by sink; they are logged in any case.
     """
     prepare_session(raw.sparkSession)
 
@@ -61,6 +62,9 @@ def parse_stream(raw: DataFrame, registry: Registry, events_path: str, dlq_path:
         required = table_sinks(events_path, dlq_path, batch_id, archive_path)
         failures = sinks.fan_out(flat, {**required, **(extra or {})})
         broken = {k: v for k, v in failures.items() if v and k in required}
+        lost = {k: v for k, v in failures.items() if v and k not in required}
+        if lost and report:
+            report(batch_id, lost)
         if broken:
             raise RuntimeError(f"batch {batch_id}: {broken}")
 

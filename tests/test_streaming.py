@@ -21,8 +21,11 @@ def test_parse_stream_matches_batch(spark, tmp_path):
     def broken(_):
         raise RuntimeError("sink down")
 
+    told = []
     for _ in range(2):  # the second run finds nothing new
-        jobs.parse_stream(src, reg, extra={"siem": broken}, row_key="concat(file, ':', sha256)", **paths).awaitTermination()
+        jobs.parse_stream(src, reg, extra={"siem": broken}, row_key="concat(file, ':', sha256)",
+                          report=lambda n, errors: told.append((n, *errors)), **paths).awaitTermination()
+    assert told == [(0, "siem")]
     batch = route(lines.selectExpr("CAST(text AS BINARY) AS raw", "'udp:5514' AS channel", "timestamp'2024-02-01' AS ingest_time",
                                    "'11111111-1111-4111-8111-111111111111' AS event_id", "repeat('a', 64) AS sha256",
                                    "'local://t/x' AS raw_ref"), reg)
