@@ -3,7 +3,9 @@
 Old shards have sizes, new shards have capacities. A unit of flow from an old shard to a new one moves a
 byte, which costs 1, or nothing where it stays. The cheapest flow says how many bytes each old shard sends
 where; the shard's rows, in a fixed order with the largest rows first, are then cut at those amounts, so that
-what stays is the front and cuts fall among the smallest rows. Only shards that give or take are rewritten.
+what stays is the front and cuts fall among the smallest rows. Only shards that give or take are rewritten,
+into a fresh folder; a layout (shard -> folder) says which folders hold the table, so that neither a retry nor
+a lost driver doubles rows, and what the replaced folders hold stays whole until the caller drops them.
 
 Running sums over a shard go through bins of the fixed order (size class, hash of the text, hash of the
 doc_id), and a window holds a bin's rows or a shard's bins, never a shard's rows. Rows with equal texts
@@ -11,20 +13,26 @@ follow one another in that order and part only where a cut or a huge group makes
 
 Defined cases: a null text has no bytes (size 16) and the CRC of the empty text; rows that repeat are placed
 one by one; an empty table gives no rows; other columns pass through ``reshard``, those named like an output
-column are replaced. The law is ``bytes``: sizes are near equal, to within a row at each cut.
+column are replaced. A table without a layout is written whole. The law is ``bytes``: sizes are near equal, to within a row at each cut.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import saved, table
+from .common import saved, shared_dir, table
 
 SHARDS, OLD = 40, 32
+#: Slots that one task writes together.
+RUN = 1024
 OUTPUTS = ("size", "text_crc32", "old_shard", "shard", "slot")
+#: Where a row lies in the files read: its name between the placement and the rewrite.
+ROW = ("_file", "_row")
 
 
 def min_cost_flow(supply: dict[int, int], capacity: dict[int, int]) -> dict[tuple[int, int], int]:
@@ -105,6 +113,7 @@ def _running(df: DataFrame, group: str, bins: list[str], order: list[str], value
 def placed(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``rows`` (doc_id, size, text_crc32, old_shard) with shard and slot. Only a sum per old shard comes to
     the driver."""
+    order = ["text_crc32", "doc_id", *(c for c in ROW if c in rows.columns)]
     rows = saved(rows.select("*", *_order(F.col("size"), F.col("text_crc32"), F.col("doc_id"))))
     supply = {r["old_shard"]: r["n"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("n")).collect()}
     flow = min_cost_flow(supply, capacities(sum(supply.values()), shards))
@@ -118,12 +127,12 @@ def placed(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     lines = [(o, [{"lo": lo, "hi": hi, "n": n} for lo, hi, n in c]) for o, c in by_old.items()]
     plan = rows.sparkSession.createDataFrame(lines, "old_shard int, cuts array<struct<lo:long,hi:long,n:int>>")
     bins = ["b0", "b1", "b2"]
-    rows = _running(rows, "old_shard", bins, ["text_crc32", "doc_id"], "size", "start")
+    rows = _running(rows, "old_shard", bins, order, "size", "start")
     # a row goes where its middle lies
     middle = F.col("start") + F.floor(F.col("size") / 2)
     hit = F.filter("cuts", lambda c: (c["lo"] <= middle) & (middle < c["hi"]))
     rows = rows.join(F.broadcast(plan), "old_shard").withColumn("shard", hit[0]["n"]).drop("cuts", "start")
-    rows = _running(rows.withColumn("one", F.lit(1)), "shard", ["old_shard", *bins], ["text_crc32", "doc_id"], "one", "slot")
+    rows = _running(rows.withColumn("one", F.lit(1)), "shard", ["old_shard", *bins], order, "one", "slot")
     return rows.drop("one", *bins)
 
 
@@ -143,18 +152,49 @@ def affected(rows: DataFrame) -> DataFrame:
     return moved.select("shard").union(moved.select("old_shard")).distinct()
 
 
-def rewrite(rows: DataFrame, path: str) -> None:
-    """Writes every affected shard of a resharded table as a folder of ``path``; the others stay as they are."""
-    (rows.join(F.broadcast(affected(rows)), "shard", "left_semi").repartition("shard", F.floor(F.col("slot") / 1_000_000))
-     .sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("append").parquet(path))
+def keyed(files: DataFrame) -> DataFrame:
+    """``files`` (a plain read of Parquet files) with the name of each row."""
+    return files.select("*", F.col("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+
+
+def rewrite(source: DataFrame, rows: DataFrame, layout: dict[int, str], path: str) -> dict[int, str]:
+    """The new layout of a table (``source``, keyed) whose rows are placed as ``rows`` says (keyed, with old_shard,
+    shard and slot). Every affected shard, and every shard that ``layout`` has no folder for, is written whole to a
+    fresh folder of ``path``; the others keep their folder, and a shard without rows has none. The layout is also
+    written, last, to the fresh folder's ``_layout``. Only names of shards come to the driver."""
+    spark = rows.sparkSession
+    rows = saved(rows)
+    changed = {r["shard"] for r in affected(rows).collect()}
+    holding = {r["shard"] for r in rows.select("shard").distinct().collect()}
+    kept = {n: layout[n] for n in holding - changed if n in layout}
+    anew = sorted(holding - set(kept))
+    folder = f"{path}/reshard-{uuid.uuid4().hex}"
+    if anew:
+        some = rows.filter(F.col("shard").isin(anew)).select(*ROW, "size", "text_crc32", F.col("shard").cast("int"), F.col("slot").cast("long"))
+        (source.drop(*OUTPUTS).join(some, list(ROW)).drop(*ROW).withColumn("part", F.col("shard"))
+         .repartition("shard", F.floor(F.col("slot") / RUN)).sortWithinPartitions("part", "slot").write.partitionBy("part").parquet(folder, compression="zstd"))
+    new = kept | {n: f"{folder}/part={n}" for n in anew}
+    spark.createDataFrame(sorted(new.items()), "shard int, folder string").coalesce(1).write.parquet(f"{folder}/_layout")
+    return new
+
+
+def stored(spark: SparkSession, layout: dict[int, str], schema: StructType) -> DataFrame:
+    """The rows of a layout: ``schema`` (the source's columns) with size, text_crc32, shard and slot."""
+    for name, kind in (("size", LongType()), ("text_crc32", LongType()), ("shard", IntegerType()), ("slot", LongType())):
+        schema = StructType([f for f in schema if f.name not in (name, *ROW)]).add(name, kind)
+    if not layout:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(layout[n] for n in sorted(layout)))
 
 
 def op10_resharding(spark, sf_dir: str) -> DataFrame:
-    rows = sized(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    source = keyed(table(spark, sf_dir, "documents"))
     # the table has no shards yet: its first layout is by text, so that equal texts start together
-    rows = rows.withColumn("old_shard", F.pmod(F.xxhash64("text_crc32"), F.lit(OLD)).cast("int"))
-    return placed(rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-                               F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    first = F.pmod(F.xxhash64("text_crc32"), F.lit(OLD)).cast("int").alias("old_shard")
+    rows = placed(sized(source.select("doc_id", "text", *ROW)).drop("text").select("*", first))
+    layout = rewrite(source, rows, {}, shared_dir(spark))
+    return stored(spark, layout, source.schema).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                                                       F.lit(None).cast("int").alias("grown_shard"), first)
 
 
 QUERIES = {"op10_resharding": op10_resharding}
