@@ -11,9 +11,10 @@ once for a pair.
 
 No group is expanded into all its pairs. Equal sets form one class and meet as one. First, each prefix
 element has a leader, a class is compared with the leader that it shares most elements with, and components
-of the links that hold are formed (twice, with other leaders). A pair inside a component can't change anything any more, so second, only classes of different components meet, those
+of the links that hold are formed (twice, with other leaders). A pair inside a component can't change the components any more, so second, only classes of different components meet, those
 outside an element's most common component against all others. Every link between different components is
-found that way, so reachability is exact.
+found that way, so reachability is exact. Where links are asked for, the classes inside each component that
+were not compared yet then meet under the same filters, so every link between different sets is counted.
 
 Defined cases: ASCII letters are lower-cased and words are runs of bytes other than ASCII white space; a text
 with fewer than ``k`` words is one shingle; a text without words, or null, has an empty set and links with
@@ -287,8 +288,39 @@ class Join:
         roots = roots.toDF("class", "root")
         return posts.join(roots, posts["s.class"] == roots["class"], "left").select("key", "s", F.coalesce("root", "s.class").alias("root"))
 
-    def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
+    def _inside(self, posts: DataFrame, known: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
+        """Pairs of classes of one component that were not compared yet and pass all filters."""
+        side = self._sided(posts, roots).join(known, F.col("s.class") == known["class"])
+        side = saved(side.select("key", "root", F.col("s").withField("sketch", F.col("sketch")).alias("s")))
+        met = side.withColumnRenamed("s", "a").join(side.withColumnRenamed("s", "b"), ["key", "root"]).filter("a.class < b.class")
+        met = met.filter(self._near()).filter(self._near(shared=_MOST)).filter(
+            self._near(shared=f"(a.n + b.n - ({_turned('a.sketch', 'b.sketch')})) / 2"))
+        return saved(self._filtered(met.select("a", "b"), known).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+
+    def run(self, links: bool = False) -> DataFrame:
+        """doc_id, n_shingles, component_id for every row; with ``links`` also class (the name of the row's set,
+        null where it is empty) and links (how many other sets link with it)."""
+        rows, known, posts, roots, found, tested = self._joined()
+        of_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(
+            roots.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = of_class.join(named, "root").select("class", "component_id")
+        out = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+        if links:
+            pairs = found.union(self._verified(self._inside(posts, known, roots, tested)))
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+            named = named.join(ends, "class", "left")
+            out += ["class", F.when(F.col("class").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("links")]
+        return rows.join(named, "class", "left").select(*out)
+
+    def links(self) -> DataFrame:
+        """a, b: every pair of different classes that link, once, with a < b."""
+        _, known, posts, roots, found, tested = self._joined()
+        return found.union(self._verified(self._inside(posts, known, roots, tested)))
+
+    def _joined(self) -> tuple[DataFrame, ...]:
+        """Rows with their class, what is known of classes, their prefix elements, components, and the links that
+        were found and pairs that were compared on the way to the components."""
         rows = saved(_sets(self.docs, self.k, self.percent, frequencies(self.docs, self.k)))
         met = rows.filter("size(prefix) > 0")
         posts = met.select("class", "n", F.posexplode("prefix").alias("at", "key"), "skipped").select(
@@ -330,17 +362,12 @@ class Join:
         turned = F.expr("a.class < b.class")
         met = met.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("b"))
         last = saved(self._filtered(met, known).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        roots = saved(components(links.union(self._verified(last))))
-        of_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(
-            roots.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = of_class.join(named, "root").select("class", "component_id")
-        return rows.join(named, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(
-            "component_id", "doc_id").alias("component_id"))
+        links, tested = links.union(saved(self._verified(last))), tested.select("a", "b").union(last.select("a", "b"))
+        return rows, known, posts, saved(components(links)), links, tested
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return Join(table(spark, sf_dir, "documents")).run()
+    return Join(table(spark, sf_dir, "documents")).run(links=True)
 
 
 QUERIES = {"op3_ngram_join": op3_ngram_join}
