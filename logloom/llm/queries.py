@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import (ann, bpe, langid, mixing, ngram_join, secrets, sharding, suffix_dedup, tokenfile, topk)
+from . import (ann, bpe, importance, langid, mixing, ngram_join, secrets, sharding, suffix_dedup, tokenfile, topk)
 
-_MODULES = [mixing, langid, ngram_join, topk, bpe, suffix_dedup, tokenfile, ann, secrets, sharding]
+_MODULES = [mixing, langid, ngram_join, topk, bpe, suffix_dedup, tokenfile, ann, secrets, sharding, importance]
 
 
 def queries() -> dict:
