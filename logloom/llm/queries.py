@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import (ann, bpe, importance, langid, mixing, ngram_join, secrets, sharding, suffix_dedup, tokenfile, topk, variants)
+from . import (ann, bpe, importance, langid, mixing, ngram_join, packing, secrets, sharding, suffix_dedup, tokenfile, topk, variants)
 
-_MODULES = [mixing, langid, ngram_join, topk, bpe, suffix_dedup, tokenfile, ann, secrets, sharding, importance, variants]
+_MODULES = [mixing, langid, ngram_join, topk, bpe, suffix_dedup, tokenfile, ann, secrets, sharding, importance, variants, packing]
 
 
 def queries() -> dict:
