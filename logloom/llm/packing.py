@@ -47,53 +47,81 @@ def word_tokenizer() -> str:
 #: Python's split() takes these for white space, the tokenizer's rules don't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[^\\S\x1c-\x1f]+")
-#: A Latin word with marks around it: the word pattern cuts between them, whatever they are.
-_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#-&*-/:;=?@^_`~]+)")
+#: A Latin word and marks after it: the word pattern always cuts between them.
+_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#-&*-/:;=?@^_`~]*)")
 
 
 class WordEncoder:
-    """ids (little-endian uint32 bytes) of whole texts for tokenizers that drop white space."""
+    """ids (little-endian uint32 bytes) of whole texts for tokenizers that drop white space and end each word's
+    last token with a suffix. When the young half of the memory is full it becomes the old half; what is asked for
+    again moves back, so that frequent words stay."""
 
-    def __init__(self, path: str, memory: int = 96 << 20):
+    def __init__(self, path: str, memory: int = 256 << 20, suffix: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        self._ids: dict[str, bytes] = {}
-        self._used, self._most = 0, memory
-
-    def _library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._ends = np.zeros(self._tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self._ends[[i for t, i in self._tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._used, self._most = 0, memory // 2
+
+    def _alone(self, words: list[str]) -> None:
+        for e, w in zip(self._tokenizer.encode_batch_fast(words, add_special_tokens=False), words, strict=True):
+            self._keep(w, np.array(e.ids, "<u4").tobytes())
+
+    def _together(self, words: list[str]) -> None:
+        """Words that are one word by the tokenizer's rules: many in one call, told apart by their last tokens."""
+        for lo in range(0, len(words), 256):
+            some = words[lo:lo + 256]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            data, ends = ids.tobytes(), ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
+            for w, i, j in zip(some, [0, *ends[:-1]], ends, strict=True):
+                self._keep(w, data[i:j])
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self._young[word] = ids
+        self._used += 200 + len(word) + len(ids)  # both objects and their place in the dictionary
+
+    def _missing(self, words: set[str]) -> list[str]:
+        """Those that must be learnt; the others are in the young half afterwards."""
+        out = []
+        for w in words.difference(self._young):
+            ids = self._old.get(w)
+            if ids is None:
+                out.append(w)
+            else:
+                self._keep(w, ids)
+        return out
 
-    def _learn(self, words: set[str]) -> None:
-        if self._used > self._most:
-            self._ids, self._used = {}, 0
-        ids, marked, plain = self._ids, [], set()
+    def _learn(self, words: list[str]) -> None:
+        marked, plain, other = [], set(), []
         for w in words:
             m = _MARKED.fullmatch(w)
             if m:
                 core, marks = m[1].lower(), m[2]
-                marked.append((w, core, marks))
-                plain.update(x for x in (core, marks) if x not in ids)
+                plain.add(core)
+                if marks:
+                    plain.add(marks)
+                    marked.append((w, core, marks))
+                elif core != w:
+                    marked.append((w, core, None))
             else:
-                plain.add(w)
-        todo = list(plain)
-        for lo in range(0, len(todo), 8192):
-            some = todo[lo:lo + 8192]
-            ids.update(zip(some, self._library(some), strict=True))
-        ids.update((w, ids[core] + ids[marks]) for w, core, marks in marked)
-        # an entry: both objects and their place in the dictionary
-        self._used += sum(190 + len(w) + len(ids[w]) for w in [*todo, *(w for w, _, _ in marked)])
+                other.append(w)
+        self._together(self._missing(plain))
+        self._alone(other)
+        ids = self._young
+        for w, core, marks in marked:
+            self._keep(w, ids[core] + ids[marks] if marks else ids[core])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         gc.disable()  # many strings and no cycles
         try:
-            cut = [_SPACES.split(t.strip()) if _SEPARATORS.search(t) else t.split() for t in texts]
-            unknown = set().union(*cut).difference(self._ids)
-            if self._used > self._most and unknown:
-                unknown = set().union(*cut)
-            if unknown:
-                self._learn(unknown)
-            get = self._ids.__getitem__
+            if self._used > self._most:
+                self._old, self._young, self._used = self._young, {}, 0
+            cut = [[w for w in _SPACES.split(t) if w] if _SEPARATORS.search(t) else t.split() for t in texts]
+            self._learn(self._missing(set().union(*cut)))
+            get = self._young.__getitem__
             return [b"".join(map(get, c)) for c in cut]
         finally:
             gc.enable()
