@@ -81,6 +81,11 @@ def kv_entries(p: str, pair_regex: str | None = None) -> str:
     else:
         pairs = (f"transform(regexp_extract_all({p}, {q(KV_PAIR)}, 0), m -> struct("
                  f"substring_index(m, '=', 1) AS key, substr(m, instr(m, '=') + 1) AS value))")
+    return unquoted(pairs)
+
+
+def unquoted(pairs: str) -> str:
+    """Pairs without the quotes around their values; NULL when there are none."""
     quoted = ("length(e.value) >= 2 AND left(e.value, 1) = right(e.value, 1)"
               " AND left(e.value, 1) IN ('\"', '\\'')")
     bare = "replace(substr(e.value, 2, length(e.value) - 2), '\\\\\"', '\"')"
@@ -94,35 +99,54 @@ def delimiter_of(spec: dict) -> str:
     return "\t" if d in ("\\t", "tab") else d
 
 
+def csv_patterns(delimiter: str, quotechar: str) -> dict[str, str]:
+    """The patterns of one separated layout: first record, one cell, a quoted cell, the separator alone."""
+    d, qc = _rx(delimiter), _rx(quotechar)
+    return {"record": f"^(?:[^{qc}\\r\\n]|{qc}(?:[^{qc}]|{qc}{qc})*+{qc}|{qc})*+",
+            "cell": f"{d}({qc}(?:[^{qc}]|{qc}{qc})*+{qc}[^{d}]*|[^{d}]*)",
+            "quoted": f"(?s)^{qc}((?:[^{qc}]|{qc}{qc})*+){qc}(.*)$", "separator": d}
+
+
 def csv_cells(p: str, delimiter: str = ",", quotechar: str = '"') -> str:
     """Cells of the first record; quotes are honoured, the arity is kept."""
-    d, qc = _rx(delimiter), _rx(quotechar)
-    line = strip(p)
-    record = f"regexp_extract({line}, {q(f'^(?:[^{qc}\\r\\n]|{qc}(?:[^{qc}]|{qc}{qc})*+{qc}|{qc})*+')}, 0)"
-    cell = f'{d}({qc}(?:[^{qc}]|{qc}{qc})*+{qc}[^{d}]*|[^{d}]*)'
-    unquote = (f"CASE WHEN startswith(c, {q(quotechar)}) AND instr(substr(c, 2), {q(quotechar)}) > 0 THEN"
-               f" concat(replace(regexp_extract(c, {q(f'(?s)^{qc}((?:[^{qc}]|{qc}{qc})*+){qc}(.*)$')}, 1),"
-               f" {q(quotechar * 2)}, {q(quotechar)}),"
-               f" regexp_extract(c, {q(f'(?s)^{qc}((?:[^{qc}]|{qc}{qc})*+){qc}(.*)$')}, 2)) ELSE c END")
-    slow = (f"transform(regexp_extract_all(concat({q(delimiter)}, {record}), {q(cell)}, 1), c -> {unquote})")
-    fast = f"split(regexp_extract({line}, '^[^\\\\r\\\\n]*', 0), {q(d)}, -1)"
-    return f"CASE WHEN contains({p}, {q(quotechar)}) THEN {slow} ELSE {fast} END"
+    return csv_cells_by(p, q(delimiter), q(quotechar), {k: q(v) for k, v in csv_patterns(delimiter, quotechar).items()})
+
+
+def csv_cells_by(p: str, delimiter: str, quotechar: str, patterns: dict[str, str]) -> str:
+    """The same with the layout in SQL texts, which may be columns."""
+    line, quoted = strip(p), patterns["quoted"]
+    record = f"regexp_extract({line}, {patterns['record']}, 0)"
+    unquote = (f"CASE WHEN startswith(c, {quotechar}) AND instr(substr(c, 2), {quotechar}) > 0 THEN"
+               f" concat(replace(regexp_extract(c, {quoted}, 1), concat({quotechar}, {quotechar}), {quotechar}),"
+               f" regexp_extract(c, {quoted}, 2)) ELSE c END")
+    slow = f"transform(regexp_extract_all(concat({delimiter}, {record}), {patterns['cell']}, 1), c -> {unquote})"
+    fast = f"split(regexp_extract({line}, '^[^\\\\r\\\\n]*', 0), {patterns['separator']}, -1)"
+    return f"CASE WHEN contains({p}, {quotechar}) THEN {slow} ELSE {fast} END"
 
 
 def _rx(ch: str) -> str:
     return ch if ch.isalnum() or ch in "\t ,;:'\"" else "\\" + ch
 
 
+def csv_names(spec: dict) -> list:
+    return [None if n in (None, "_") else n for n in spec.get("fields") or []]
+
+
+def csv_least(spec: dict) -> int:
+    return int(spec.get("min_columns", len(csv_names(spec)) // 2 or 1))
+
+
 def csv_entries(cells: str, spec: dict) -> str:
     """Entries from a cell array column (an attribute, referenced repeatedly)."""
-    names = [None if n in (None, "_") else n for n in spec.get("fields") or []]
-    min_cols = int(spec.get("min_columns", len(names) // 2 or 1))
-    if names:
-        name = f"CASE WHEN i < {len(names)} THEN get({str_array(names)}, i) ELSE concat('_col', i) END"
-    else:
-        name = "concat('_col', i)"
+    names = csv_names(spec)
+    return csv_entries_by(cells, str_array(names), str(len(names)), str(csv_least(spec)))
+
+
+def csv_entries_by(cells: str, names: str, n: str, least: str) -> str:
+    """The same with names, their number and the least number of cells in SQL texts."""
+    name = f"CASE WHEN i < {n} THEN get({names}, i) ELSE concat('_col', i) END"
     pairs = f"transform({cells}, (c, i) -> struct({name} AS key, c AS value))"
-    return (f"CASE WHEN size({cells}) >= {min_cols} AND NOT ({cells} = array('')) THEN"
+    return (f"CASE WHEN size({cells}) >= {least} AND NOT ({cells} = array('')) THEN"
             f" filter({pairs}, e -> e.key IS NOT NULL AND e.value <> '') END")
 
 

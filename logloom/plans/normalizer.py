@@ -447,7 +447,15 @@ class Normalizer:
         paths = self.check_paths()
         stages += self.mapping_stages(c, paths)
         stages.append(self.class_stage(c))
+        return stages + self.contract_stages() + [self.verdict_stage(c, True)]
 
+    def _present(self, r: Ref, prefix: str) -> str:
+        """Whether anything below a path is set."""
+        cols = [r(mcol(p)) for p in self.check_paths() if p.startswith(prefix)]
+        return f"coalesce({', '.join(cols)}) IS NOT NULL" if cols else "false"
+
+    def contract_stages(self) -> list[Stage]:
+        """``errors``: what the mapped values violate."""
         def numbers(r: Ref) -> dict:
             name = f"lower({self._m(r, 'connection_info.protocol_name')})"
             out = {
@@ -466,21 +474,17 @@ class Normalizer:
             return out
 
         def errors(r: Ref) -> dict:
-            def present(prefix: str) -> str:
-                cols = [r(mcol(p)) for p in paths if p.startswith(prefix)]
-                return f"coalesce({', '.join(cols)}) IS NOT NULL" if cols else "false"
-
             return {"errors": error_list(
                 class_uid=r("k_class"),
                 src_ip=self._m(r, "src_endpoint.ip"), src_bad=r("k_src_bad"), src_port=r("k_src_port"),
                 dst_ip=self._m(r, "dst_endpoint.ip"), dst_bad=r("k_dst_bad"), dst_port=r("k_dst_port"),
                 protocol_num=r("k_proto"), direction_id=r("k_dir"), code=r("k_code"),
-                has_src=present("src_endpoint."), has_dst=present("dst_endpoint."),
-                has_request=present("http_request."), has_finding=present("finding_info."),
+                has_src=self._present(r, "src_endpoint."), has_dst=self._present(r, "dst_endpoint."),
+                has_request=self._present(r, "http_request."), has_finding=self._present(r, "finding_info."),
                 uid=r("event_id"), sha256=r("sha256"), raw_ref=r("raw_ref"), channel=r("channel"),
             )}
 
-        return stages + [numbers, errors, self.verdict_stage(c, True)]
+        return [numbers, errors]
 
     def verdict_stage(self, c: str, enforce: bool) -> Stage:
         def stage(r: Ref) -> dict:
