@@ -80,7 +80,7 @@ def test_scores_of_many_candidates_in_one_job(spark):
     live = ip.live_definitions(spark, registry)
     base = {"fingerprint": {"type": "contains", "pattern": "app=zz"}, "tokenize": {"type": "kv"}, "ocsf": {"class_uid": 4001},
             "mapping": {"fields": {"ip": "src_endpoint.ip"}}, "priority": 55}
-    docs = {"c1:good": {**base, "source_id": "zz"}, "c1:greedy": {**base, "source_id": "gr", "priority": 99, "channels": [U], "fingerprint": {"type": "contains", "pattern": "filterlog"}},
+    docs = {"c1:good": {**base, "source_id": "zz"}, "c1:greedy": {**base, "source_id": "gr", "priority": 99, "channels": [U], "mapping": {"fields": {"src": "src_endpoint.ip"}}, "fingerprint": {"type": "contains", "pattern": "filterlog"}},
             "c1:broken": {"source_id": "br"}, "c2:replaces": {**base, "source_id": "pfsense"}, "c2:nothing": {**base, "source_id": "no", "tokenize": {"type": "csv"}}}
     cands = spark.createDataFrame([(n[:2], n, i, json.dumps(d)) for i, (n, d) in enumerate(docs.items())], "cluster_id STRING, candidate STRING, position INT, definition STRING")
     samples = spark.createDataFrame([line("c1", "app=zz ip=10.0.0.1"), line("c1", "app=zz ip=bad"), line("c1", "other"), line("c2", "app=zz ip=10.0.0.1 q")],
