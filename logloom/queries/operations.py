@@ -474,27 +474,6 @@ def heal_match_rate(spark, sf):
     return heal.match_rate(tried.join(ids, "event_id"), ("cluster_id",))
 
 
-def scores(spark, sf) -> DataFrame:
-    """Candidate scores derived from events: five candidates per user."""
-    return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", "event_type").agg(
-        F.count("*").alias("n"), F.min("event_id").alias("position")).selectExpr(
-        "user_id", "event_type AS candidate", "event_type <> 'signup' AS valid_config", "n % 2 = 0 AS regression_passed",
-        "round(n % 10 / 10, 3) AS match_rate", "n % 4 AS mapped_fields", "position", "CASE WHEN n % 7 = 0 THEN 'dismissed' ELSE 'open' END AS status")
-
-
-_SC = "WITH s AS (SELECT user_id, event_type AS candidate, count(*) AS n, min(event_id) AS position FROM events GROUP BY 1, 2) "
-
-
-@query("heal_best_candidate", _SC + "SELECT user_id, candidate FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY candidate <> 'signup' DESC, n % 2 = 0 DESC, n % 10 DESC, n % 4 DESC, position) AS rn FROM s) WHERE rn = 1")
-def heal_best_candidate(spark, sf):
-    return heal.best_candidate(scores(spark, sf), "user_id").select("user_id", "candidate")
-
-
-@query("heal_promotable", _SC + "SELECT user_id, candidate, CASE WHEN n % 7 = 0 THEN 'proposal is dismissed, not open' WHEN candidate = 'signup' THEN 'invalid parser config' WHEN n % 2 <> 0 THEN 'regression corpus failed' WHEN n % 10 < 5 THEN 'match rate too low' END AS refused FROM s")
-def heal_promotable(spark, sf):
-    return heal.promotable(scores(spark, sf)).select("user_id", "candidate", "refused")
-
-
 @query("heal_proposal_current", "WITH s AS (SELECT event_id // 3 AS id, (event_id // 3) % 50 AS cluster, max_by(event_type, event_id) AS t FROM events GROUP BY 1, 2), m AS (SELECT cluster, max(id) AS newest FROM s GROUP BY 1) "
        "SELECT id, CASE WHEN t IN ('view','click','signup') THEN CASE WHEN id < newest THEN 'superseded' ELSE 'open' END WHEN t = 'purchase' THEN 'promoted' ELSE 'dismissed' END AS status FROM s JOIN m USING (cluster)")
 def heal_proposal_current(spark, sf):
