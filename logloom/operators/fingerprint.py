@@ -19,14 +19,15 @@ def json_path(key: str) -> tuple[str, str | None]:
 
 
 def json_value(key: str, v: str, rep: str) -> str:
-    """Text of a dotted key; ``rep`` serves documents with repeated keys."""
+    """Text of a dotted key; ``rep``, a token map, serves documents with repeated keys."""
     nested, flat = json_path(key)
     parts = []
     if flat:
         parts.append(f"try_variant_get({v}, {q(flat)}, 'string')")
     parts.append(f"try_variant_get({v}, {q(nested)}, 'string')")
-    parts.append(f"CASE WHEN size({rep}) = 1 THEN"
-                 f" element_at(filter(map_entries({rep}[0]), e -> e.key = {q(key)}).value, -1) END")
+    # an object under the key has no text of its own in the map
+    parts.append(f"element_at({rep}, {q(key)})")
+    parts.append(f"CASE WHEN exists(map_keys({rep}), k -> startswith(k, {q(key + '.')})) THEN '{{}}' END")
     return "coalesce(" + ", ".join(parts) + ")"
 
 
@@ -64,7 +65,10 @@ def json_keys_of(fp: dict) -> list[str]:
 def standalone_sql(fp: dict, text: str) -> str:
     """The predicate over a text column alone (parses JSON itself)."""
     jt = json_text(text)
-    return match_sql(fp, text, f"({json_variant(jt)})", f"({json_repeated(jt)})")
+    if not json_keys_of(fp):
+        return match_sql(fp, text)
+    rep = f"CASE WHEN {json_variant(jt)} IS NULL THEN {json_repeated(jt)} END"
+    return match_sql(fp, text, f"({json_variant(jt)})", f"({rep})")
 
 
 def matches(fp: dict, text: str = "text") -> Column:

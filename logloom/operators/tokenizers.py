@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regexes import port
-from ..functions.sqltext import case, entry, groups, last_wins_map, lstrip, q, str_array, strip
+from ..functions.sqltext import case, entry, groups, last_wins_map, let, lstrip, q, str_array, strip
 
 ENTRIES_TYPE = "ARRAY<STRUCT<key: STRING, value: STRING>>"
 NO_ENTRIES = f"CAST(NULL AS {ENTRIES_TYPE})"
-JSON_DEPTH = 5  # deeper objects stay whole, as JSON text, under their dotted path
+JSON_DEPTH = 5  # objects with more braces are walked token by token
 
 # The pair grammars and header names.
 KV_PAIR = r'([\w.\-]+)=("(?:[^"\\]|\\.)*+"|' + r"'[^']*'|[^\s,;]*)"
@@ -226,13 +226,15 @@ def json_text(p: str) -> str:
 
 
 def json_variant(jtext: str) -> str:
-    """VARIANT array of one object.  Wrapping in [] makes trailing text an error."""
-    return f"try_parse_json(concat('[', {jtext}, ']'))"
+    """VARIANT array of one object. Wrapping in [] makes trailing text an error, unless it closes the array itself:
+    the parser stops there. Such a text doesn't close an object, so a text with brackets must parse in both."""
+    return (f"CASE WHEN NOT contains({jtext}, ']') OR try_parse_json(concat('{{\"_\":', {jtext}, '}}')) IS NOT NULL"
+            f" THEN try_parse_json(concat('[', {jtext}, ']')) END")
 
 
 def json_repeated(jtext: str) -> str:
-    """Fallback for objects with repeated keys, which VARIANT refuses."""
-    return f"from_json(concat('[', {jtext}, ']'), 'array<map<string,string>>')"
+    """Token map of an object with repeated keys, which VARIANT refuses: the last one counts. NULL when it's no object."""
+    return let({"x": json_walk(jtext)}, "w", last_wins_map("w.x"))
 
 
 def json_object(v: str) -> str:
@@ -241,8 +243,65 @@ def json_object(v: str) -> str:
             f" THEN try_variant_get({v}, '$[0]', 'map<string,variant>') END")
 
 
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|[{}\[\]:,]|[^\s{}\[\]:,"]++'
+#: What VARIANT would spell anew: fractions, exponents, and integers that a BIGINT may not hold.
+#: Also arrays with objects or escapes in them: VARIANT sorts keys.
+_OTHER_SPELLING = r"[:\[,]\s*-?\d+(?:[.eE]|\d{17})|\[[\s\S]*[{\\]"
+
+
+def json_walk(jtext: str) -> str:
+    """Entries of one object of any depth, with repeated keys, each number as it was written; NULL when it isn't
+    exactly one object.
+
+    One pass over the structural tokens keeps the path of open objects. A repeated key takes away what was found
+    under it; arrays are one value, their text without blanks. Keys are parted by U+0001 until the end, so that a
+    key which holds dots stays apart from a path.
+    """
+    sep = "'\\u0001'"
+    valid = (f"coalesce(size(from_json(concat('[', {jtext}, ']'), 'array<map<string,string>>')), 0) = 1"
+             f" AND from_json(concat('[', {jtext}, ']'), 'array<map<string,string>>')[0] IS NOT NULL")
+    tokens = f"regexp_extract_all({jtext}, {q(_JSON_TOKEN)}, 0)"
+    text = ("CASE WHEN NOT startswith(t, '\"') THEN t WHEN contains(t, '\\\\') THEN from_json(concat('[', t, ']'), 'array<string>')[0]"
+            " ELSE substr(t, 2, length(t) - 2) END")
+    at = f"concat_ws({sep}, s.path, s.key)"
+    emit = "concat(s.out, array(struct({k} AS key, {v} AS value)))"
+
+    def state(path="s.path", key="s.key", depth="s.depth", buf="s.buf", fresh="false", level="s.level", more="s.more", out="s.out"):
+        return (f"named_struct('path', {path}, 'key', {key}, 'depth', {depth}, 'buf', {buf}, 'fresh', {fresh}, 'level', {level}, 'more', {more},"
+                f" 'out', {out})")
+
+    none = "CAST(NULL AS STRING)"
+    step = "CAST(CASE WHEN t IN ('[', '{{') THEN 1 WHEN t IN (']', '}}') THEN -1 ELSE 0 END AS INT)".format()
+    inside = (f"CASE WHEN s.depth + {step} = 0 THEN " + state(key=none, depth="0", buf="''", out=emit.format(k=at, v="concat(s.buf, t)"))
+              + " ELSE " + state(depth=f"s.depth + {step}", buf="concat(s.buf, t)") + " END")
+    named = f"concat_ws({sep}, s.path, k)"
+    again = f"filter(s.out, e -> e.key <> {named} AND NOT startswith(e.key, concat({named}, {sep})))"
+    as_key = (f"element_at(transform(array({text}), k -> " + state(
+        key="k", out=f"CASE WHEN exists(s.out, e -> e.key = {named} OR startswith(e.key, concat({named}, {sep}))) THEN {again} ELSE s.out END") + "), 1)")
+    opened = state(path="CASE WHEN s.key IS NULL THEN s.path ELSE concat(s.path, array(s.key)) END", key=none, fresh="true", level="s.level + 1")
+    closed = state(level="CASE WHEN s.level = 1 THEN -1 ELSE s.level - 1 END", path="slice(s.path, 1, greatest(size(s.path) - 1, 0))", out="CASE WHEN s.fresh AND size(s.path) > 0 THEN "
+                   + emit.format(k=f"array_join(s.path, {sep})", v="'{}'") + " ELSE s.out END")
+    value = state(key=none, out=emit.format(k=at, v=f"CASE WHEN t = 'null' THEN {none} ELSE {text} END"))
+    # the parser that tells whether the text is valid ignores what follows the end of the wrapping array
+    merge = (f"CASE WHEN s.level < 0 THEN {state(more='true')} WHEN s.depth > 0 THEN {inside} WHEN t = '{{' THEN {opened} WHEN t = '}}' THEN {closed}"
+             f" WHEN t = '[' THEN {state(depth='1', buf=repr('['))} WHEN t IN (':', ',') THEN {state()}"
+             f" WHEN s.key IS NULL THEN {as_key} ELSE {value} END")
+    start = ("named_struct('path', CAST(array() AS ARRAY<STRING>), 'key', CAST(NULL AS STRING), 'depth', 0, 'buf', '', 'fresh', false, 'level', 0, 'more', false,"
+             f" 'out', CAST(array() AS {ENTRIES_TYPE}))")
+    walked = f"aggregate({tokens}, {start}, (s, t) -> {merge}, s -> CASE WHEN NOT s.more THEN s.out END)"
+    # a flat key that holds dots beats the nested path: it comes last
+    parted = f"concat(filter(o, e -> contains(e.key, {sep})), filter(o, e -> NOT contains(e.key, {sep})))"
+    dotted = f"transform({parted}, e -> struct(replace(e.key, {sep}, '.') AS key, e.value AS value))"
+    return f"CASE WHEN {valid} THEN element_at(transform(array({walked}), o -> {dotted}), 1) END"
+
+
 def json_entries(v: str, jtext: str, depth: int = JSON_DEPTH) -> str:
-    """Dotted entries; a flat key that holds dots beats the nested path (it comes last)."""
+    """Dotted entries; a flat key that holds dots beats the nested path (it comes last).
+
+    Most documents are flat enough for expressions over VARIANT; those with more braces than ``depth``, with repeated
+    keys, or with numbers or arrays that VARIANT would spell anew are walked token by token. Both ways give the same
+    entries where both apply.
+    """
     obj = "try_variant_get({x}, '$', 'map<string,variant>')"
 
     def level(var_map: str, k: int) -> str:
@@ -270,12 +329,9 @@ def json_entries(v: str, jtext: str, depth: int = JSON_DEPTH) -> str:
         f" element_at(transform(array({flat}), f -> CASE WHEN exists(f, e -> contains(e.key, '.'))"
         f" THEN {ordered} ELSE f END), 1) END), 1)"
     )
-    # repeated keys: VARIANT is NULL, the string map keeps every occurrence in order
-    repeated_route = (
-        f"element_at(transform(array({json_repeated(jtext)}), r -> CASE WHEN size(r) = 1 AND r[0] IS NOT NULL"
-        f" THEN transform(map_entries(r[0]), e -> struct(e.key AS key, e.value AS value)) END), 1)"
-    )
-    return f"CASE WHEN {v} IS NULL AND {jtext} IS NOT NULL THEN {repeated_route} ELSE {variant_route} END"
+    braces = f"length({jtext}) - length(replace({jtext}, '{{', '')) > {depth}"
+    return (f"CASE WHEN {jtext} IS NULL THEN NULL WHEN {v} IS NULL OR {braces} OR {jtext} RLIKE {q(_OTHER_SPELLING)}"
+            f" THEN {json_walk(jtext)} ELSE {variant_route} END")
 
 
 # ---------------------------------------------------------------- XML
@@ -371,7 +427,7 @@ def tokenize_leef(df: DataFrame, col: str = "payload", out: str = "tokens") -> D
 
 
 def tokenize_json(df: DataFrame, col: str = "payload", out: str = "tokens") -> DataFrame:
-    """One strict object per payload -> dotted keys (see ``JSON_DEPTH``)."""
+    """One strict object per payload -> dotted keys, of any depth."""
     keep = [f"`{c}`" for c in df.columns]
     staged = df.selectExpr(*keep, f"{json_text(f'`{col}`')} AS _jtext")
     staged = staged.selectExpr(*keep, "_jtext", f"{json_variant('_jtext')} AS _v")
