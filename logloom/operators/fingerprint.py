@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.sqltext import lstrip, q
+from ..functions.sqltext import let, lstrip, q
 from .tokenizers import json_repeated, json_text, json_variant, regex_matches
 
 
@@ -67,8 +67,10 @@ def standalone_sql(fp: dict, text: str) -> str:
     jt = json_text(text)
     if not json_keys_of(fp):
         return match_sql(fp, text)
-    rep = f"CASE WHEN {json_variant(jt)} IS NULL THEN {json_repeated(jt)} END"
-    return match_sql(fp, text, f"({json_variant(jt)})", f"({rep})")
+    # bound once: the document is parsed once whatever the fingerprint asks for
+    parsed = let({"v": json_variant(jt), "jt": jt}, "j0", let(
+        {"v": "j0.v", "rep": f"CASE WHEN j0.v IS NULL AND j0.jt IS NOT NULL THEN {json_repeated('j0.jt')} END"}, "j", match_sql(fp, text, "j.v", "j.rep")))
+    return f"({parsed})"
 
 
 def matches(fp: dict, text: str = "text") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.sqltext import q, settled, strip
 from .envelope import add_envelope
-from .tokenizers import json_repeated, json_variant
+from .tokenizers import json_walk, json_variant
 
 # The token shapes.  \w and \d of the original are Unicode classes.
 _W = r"\p{L}\p{N}_"
@@ -40,8 +40,8 @@ def signature_columns(df: DataFrame, channel: str = "channel") -> DataFrame:
         *keep, "_p",
         f"CASE WHEN _v IS NOT NULL THEN CASE WHEN try_variant_get(_v, '$[1]', 'variant') IS NULL THEN"
         f" array_sort(map_keys(try_variant_get(_v, '$[0]', 'map<string,variant>'))) END"
-        f" WHEN startswith(_p, '{{') THEN element_at(transform(array({json_repeated('_p')}),"
-        f" r -> CASE WHEN size(r) = 1 THEN array_sort(array_distinct(map_keys(r[0]))) END), 1) END AS _keys")
+        f" WHEN startswith(_p, '{{') AND {json_walk('_p')} IS NOT NULL THEN"
+        f" array_sort(array_distinct(map_keys(from_json(concat('[', _p, ']'), 'array<map<string,string>>')[0]))) END AS _keys")
     bars = ("split(CASE WHEN contains(_p, 'CEF:') THEN substr(_p, instr(_p, 'CEF:'))"
             " WHEN contains(_p, 'LEEF:') THEN substr(_p, instr(_p, 'LEEF:')) END, '\\\\|', -1)")
     df = df.selectExpr(
