@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import SNIPPET_LIMIT
+
 
 def archive_rows(df: DataFrame) -> DataFrame:
     """Raw events -> archive rows (partition columns ``source`` and ``ingest_hour``)."""
@@ -68,8 +70,9 @@ def find_event(ids: DataFrame, normalized: DataFrame, dlq: DataFrame) -> DataFra
 
 
 def replay_source(dlq: DataFrame, archive: DataFrame) -> DataFrame:
-    """Quarantined rows with their original bytes; the snippet serves where the archive has none."""
+    """Quarantined rows with their original bytes. Where the archive has none, the snippet serves if it is the whole
+    line; of a longer line only a part is left, and ``raw`` is NULL."""
     originals = archive.select("event_id", F.col("raw").alias("_raw"))
     out = dlq.join(originals, "event_id", "left")
-    return out.select(*dlq.columns, F.coalesce("_raw", F.col("raw_snippet").cast("binary")).alias("raw"),
-                      F.col("_raw").isNotNull().alias("from_archive"))
+    whole = F.when(F.char_length("raw_snippet") < SNIPPET_LIMIT, F.col("raw_snippet").cast("binary"))
+    return out.select(*dlq.columns, F.coalesce("_raw", whole).alias("raw"), F.col("_raw").isNotNull().alias("from_archive"))
