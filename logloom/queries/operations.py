@@ -9,6 +9,7 @@ from .. import fixtures as fx
 from ..functions.sqltext import lookup
 from ..operators import archive as arc
 from ..operators import dlq, heal, metrics, regression
+from ..sources import ingest
 from ..operators import registry_log as rl
 from ..operators import signature as sig
 from ..operators import sinks
@@ -92,7 +93,7 @@ def metrics_history(spark, sf):
 @query("metrics_eps", BASE + _HIST + "SELECT CAST(epoch_us(t) // 1000000 AS BIGINT) AS t, CAST(COALESCE(sum(ingested) OVER w, 0) AS BIGINT) AS last_sum, CAST(count(ingested) OVER w AS BIGINT) AS last_n FROM g WINDOW w AS (ORDER BY t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
 def metrics_eps(spark, sf):
     raw = fx.base(spark, sf).selectExpr("ts", "CAST(NULL AS STRING) AS reason")
-    return metrics.events_per_bucket(metrics.history(raw, "1 hour", None)).selectExpr(
+    return metrics.events_per_bucket(metrics.history(raw, "1 hour", None), bucket="1 hour").selectExpr(
         "unix_seconds(t) AS t", "last_sum", "last_n")
 
 
@@ -266,11 +267,13 @@ def audit_lookup(spark, sf):
     return arc.find_event(ids, out.filter("reason IS NULL"), bad).select("eid", "status", "source_id", "reason")
 
 
-@query("replay_source", BASE + "SELECT eid, k % 4 <> 0 AS from_archive, sha256(line) AS sha256 FROM (SELECT eid, k, '###UNKNOWN### code=' || user_id || ' x~~y' AS line FROM d WHERE family = 11 AND k % 2 = 0)")
+@query("replay_source", BASE + "SELECT eid, k % 4 <> 0 AS from_archive, CASE WHEN k % 4 <> 0 OR k % 8 = 0 THEN sha256(line) END AS sha256 FROM (SELECT eid, k, '###UNKNOWN### code=' || user_id || ' x~~y' || CASE WHEN k % 8 = 4 THEN repeat('z', 5000) ELSE '' END AS line FROM d)")
 def replay_source(spark, sf):
-    rows = light_dlq(spark, sf).filter("eid % 12 = 11 AND k % 2 = 0")
-    archive = fx.raw_events(spark, sf, 11).filter("k % 4 <> 0")
-    return arc.replay_source(rows, archive).selectExpr("eid", "from_archive", "sha2(raw, 256) AS sha256")
+    """Every line of the table; a quarter isn't archived, and of half of those the snippet is only a part."""
+    raw = ingest.mint_ids(fx.base(spark, sf).selectExpr(
+        "eid", "k", "channel", "CAST(concat('###UNKNOWN### code=', user_id, ' x~~y', if(k % 8 = 4, repeat('z', 5000), '')) AS BINARY) AS raw"), "eid")
+    rows = raw.selectExpr("eid", "event_id", "left(CAST(raw AS STRING), 4000) AS raw_snippet")
+    return arc.replay_source(rows, raw.filter("k % 4 <> 0")).selectExpr("eid", "from_archive", "sha2(raw, 256) AS sha256")
 
 
 DRIFT_FIX = {

@@ -95,10 +95,10 @@ for _key, _sid in [("norm_cef", "generic_cef"), ("norm_cef_base", "generic_cef_b
 
 # ---------------------------------------------------------------- sources
 @query("src_lines", BASE + "SELECT eid, 'file:squid' AS channel, strlen(line) AS size_bytes, sha256(line) AS sha256 FROM ("
-       "SELECT eid, '###UNKNOWN### code=' || user_id || ' x~~y' AS line FROM d WHERE family = 11 AND k % 2 = 0)")
+       "SELECT eid, '###UNKNOWN### code=' || user_id || ' x~~y' AS line FROM d)")
 def src_lines(spark, sf):
     """File bodies with padding and blank lines -> clean events."""
-    bodies = fx.lines(spark, sf, 11).filter("k % 2 = 0").selectExpr("eid", "concat('\n  ', text, ' \t\n\n') AS value")
+    bodies = fx.base(spark, sf).selectExpr("eid", "concat('\n  ###UNKNOWN### code=', user_id, ' x~~y \t\n\n') AS value")
     df = ingest.split_lines(bodies, "value", "file:squid")
     return df.selectExpr("eid", "channel", "CAST(octet_length(line) AS BIGINT) AS size_bytes", "sha2(line, 256) AS sha256")
 
@@ -119,10 +119,10 @@ def src_batch_json(spark, sf):
 
 
 @query("src_deframe", BASE + "SELECT user_id, CAST(count(*) AS BIGINT) AS messages, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM ("
-       "SELECT user_id, '###UNKNOWN### code=' || user_id || ' x~~y' AS line FROM d WHERE family = 11) GROUP BY user_id")
+       "SELECT user_id, '###UNKNOWN### code=' || user_id || ' x~~y' AS line FROM d) GROUP BY user_id")
 def src_deframe(spark, sf):
     """Captured streams: octet-counted and newline frames mixed in one blob."""
-    msgs = fx.base(spark, sf).filter("family = 11").selectExpr(
+    msgs = fx.base(spark, sf).selectExpr(
         "user_id", "k", "concat('###UNKNOWN### code=', user_id, ' x~~y') AS line")
     framed = msgs.selectExpr("user_id", "CASE WHEN k % 2 = 0 THEN concat(octet_length(line), ' ', line)"
                                         " ELSE concat(line, '\r\n') END AS piece")
@@ -148,9 +148,12 @@ def src_datagram(spark, sf):
        "'local://5514/' || substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) || '-' || substr(h,21,12) AS raw_ref "
        "FROM (SELECT eid, line, sha256('udp:5514|' || eid || '|' || sha256(line)) AS h FROM (SELECT eid, bsd || "
        "' fw01 filterlog: rule 12 ' || CASE WHEN blocked THEN 'block' ELSE 'pass' END || ' in on em0 src=' || src || ' dst=' || dst || ' proto=' || proto AS line "
-       "FROM d WHERE family = 1))")
+       "FROM d))")
 def src_mint_ids(spark, sf):
-    return fx.raw_events(spark, sf, 1).select("eid", "sha256", "size_bytes", "event_id", "raw_ref")
+    rows = fx.base(spark, sf).selectExpr(
+        "eid", "'udp:5514' AS channel", "CAST(concat(bsd, ' fw01 filterlog: rule 12 ', if(blocked, 'block', 'pass'), ' in on em0 src=', src, ' dst=', dst,"
+        " ' proto=', proto) AS BINARY) AS raw")
+    return ingest.mint_ids(rows, "eid").select("eid", "sha256", "size_bytes", "event_id", "raw_ref")
 
 
 @query("src_decode", "SELECT doc_id, sha256(text || chr(65533) || 'z') AS sha256, CAST(length(text) + 2 AS BIGINT) AS n FROM documents")
@@ -629,8 +632,8 @@ def validate_conditional(spark, sf):
     return pl.route(raw, Registry.of([p])).select("eid", "reason", "detail")
 
 
-@query("validate_top_errors", BASE + f"SELECT error, n FROM (SELECT 'schema_violation: ' || {_BROKEN} AS error, CAST(count(*) AS BIGINT) AS n FROM d WHERE family = 9 AND k % 5 <> 0 GROUP BY 1) ORDER BY n DESC, error LIMIT 3")
+@query("validate_top_errors", BASE + f"SELECT error, n FROM (SELECT 'schema_violation: ' || {_BROKEN} AS error, CAST(count(*) AS BIGINT) AS n FROM d WHERE family = 9 AND k % 5 <> 0 GROUP BY 1) ORDER BY n DESC, error LIMIT 5")
 def validate_top_errors(spark, sf):
     df = pl.route(corrupted(spark, sf), reg("generic_leef")).filter("reason IS NOT NULL")
-    msgs = df.selectExpr("left(concat(reason, ': ', detail), 200) AS error")
-    return msgs.groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(3)
+    msgs = df.selectExpr("concat(reason, ': ', detail) AS error")
+    return msgs.groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(5)
