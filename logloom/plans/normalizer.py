@@ -17,8 +17,8 @@ from ..functions.sqltext import case, entry, groups, last_wins_map, lookup, q, s
 from ..operators import tokenizers as tk
 from ..operators.enrich import enrich_leaves
 from ..operators.validate import error_list
-from ..schema import (ACTION, ACTIVITIES, ALLOWING_DISPOSITIONS, CATEGORIES, CLASSES, DENYING_DISPOSITIONS,
-                      DISPOSITION, INTERNAL_NETWORKS, OCSF_VERSION, PROTOCOLS, SCHEMA_VERSION, SEVERITY, leaf_types)
+from ..schema import (ACTION, ACTIVITIES, CATEGORIES, CLASSES, DISPOSITION, DISPOSITION_ACTION,
+                      INTERNAL_NETWORKS, OCSF_VERSION, PROTOCOLS, SCHEMA_VERSION, SEVERITY, leaf_types)
 
 Ref = Callable[[str], str]
 Stage = Callable[[Ref], dict]
@@ -316,9 +316,7 @@ class Normalizer:
                 "severity_id": f"CASE WHEN {r('sev_src')} IS NULL THEN 1 WHEN {r('sev_src')} IN"
                                f" ({', '.join(map(str, SEVERITY))}) THEN {r('sev_src')} ELSE 99 END",
                 "action_id": f"CASE WHEN {mapped_action} IS NOT NULL THEN {valid_action}"
-                             f" WHEN {did} IN ({', '.join(map(str, ALLOWING_DISPOSITIONS))}) THEN 1"
-                             f" WHEN {did} IN ({', '.join(map(str, DENYING_DISPOSITIONS))}) THEN 2"
-                             f" WHEN {did} IS NOT NULL THEN 0 END",
+                             f" WHEN {did} IS NOT NULL THEN coalesce(CAST({lookup(DISPOSITION_ACTION, f'CAST({did} AS STRING)')} AS INT), 0) END",
                 "disposition": f"CASE WHEN {did} IS NULL THEN NULL WHEN {did} <> 99 THEN"
                                f" {lookup(DISPOSITION, f'CAST({did} AS STRING)')}"
                                f" ELSE coalesce({self._m(r, 'disposition')}, 'Other') END",

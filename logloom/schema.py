@@ -78,8 +78,8 @@ DISPOSITION = {0: "Unknown", 1: "Allowed", 2: "Blocked", 3: "Quarantined", 4: "I
                6: "Dropped", 7: "Custom Action", 8: "Approved", 9: "Restored", 10: "Exonerated",
                15: "Detected", 16: "No Action", 17: "Logged", 99: "Other"}
 ACTION = {0: "Unknown", 1: "Allowed", 2: "Denied", 99: "Other"}
-ALLOWING_DISPOSITIONS = (1, 8, 15, 16, 17)
-DENYING_DISPOSITIONS = (2, 3, 4, 5, 6)
+# The action that each disposition means.
+DISPOSITION_ACTION = {1: 1, 2: 2, 3: 2, 4: 2, 5: 2, 6: 2, 8: 1, 15: 1, 16: 1, 17: 1}
 PROTOCOLS = {"icmp": 1, "igmp": 2, "tcp": 6, "udp": 17, "gre": 47, "esp": 50, "ah": 51, "icmpv6": 58,
              "sctp": 132}
 DIRECTION = {0: "Unknown", 1: "Inbound", 2: "Outbound", 3: "Lateral", 99: "Other"}
