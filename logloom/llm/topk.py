@@ -10,7 +10,7 @@ exact integers, so rounding in the rotation (allowed for by a margin) never deci
 
 Queries are a stated set and travel in blocks too; a pair of blocks is one unit of work, so a common vector
 or a large query set splits evenly. Defined cases: vectors that are null, empty or hold null or non-finite
-components take no part; rows that repeat an id count as candidates each, but never for a query of that id;
+components take no part; rows that repeat an id count as candidates each, but never for a query of that id; a query row that repeats is asked once;
 vectors of another dimension aren't compared; an empty table gives no rows; fewer candidates than k give all.
 """
 
@@ -100,7 +100,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, first: int = 2
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     sorted_ = candidates.withColumn("len", length).repartitionByRange(F.desc("len"), "id").sortWithinPartitions(F.desc("len"), "id")
     blocks = saved(packed(sorted_, BLOCK).withColumn("c_block", F.monotonically_increasing_id()))
-    asked = saved(packed(queries, QUERY_BLOCK).withColumn("q_block", F.monotonically_increasing_id()))
+    # a query row that repeats is asked once
+    asked = saved(packed(queries.distinct(), QUERY_BLOCK).withColumn("q_block", F.monotonically_increasing_id()))
     turn = rotation(blocks)
     c = blocks.select("dim", "c_block", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), F.col("longest").alias("c_len"))
     q = asked.select("dim", "q_block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("longest").alias("q_len"))

@@ -185,3 +185,16 @@ def test_encoder_equals_the_library_when_it_forgets():
         for t in _texts():
             want = encoder._tokenizer.encode(t or "", add_special_tokens=False).ids
             assert np.frombuffer(encoder.encode([t or ""])[0], "<u4").tolist() == want
+
+
+def test_a_repeated_query_lists_each_neighbour_once(spark):
+    from logloom.llm import topk
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-9, 9, 6).astype(float).tolist()) for i in range(60)]
+    c = spark.createDataFrame(rows, "id long, v array<double>")
+    q = spark.createDataFrame([rows[0], rows[0], rows[5]], "id long, v array<double>")
+    got = topk.top_k(c, q, 10).collect()
+    for i in (0, 5):
+        scores = sorted(((-int(np.dot(rows[i][1], v)), j) for j, v in rows if j != i))[:10]
+        assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == [
+            (n, j, -s) for n, (s, j) in enumerate(scores, 1)]
