@@ -7,9 +7,9 @@ what stays is the front and cuts fall among the smallest rows. Only shards that
 into a fresh folder; a layout (shard -> folder) says which folders hold the table, so that neither a retry nor
 a lost driver doubles rows, and what the replaced folders hold stays whole until the caller drops them.
 
-Running sums over a shard go through bins of the fixed order (size class, hash of the text, hash of the
-doc_id), and a window holds a bin's rows or a shard's bins, never a shard's rows. Rows with equal texts
-follow one another in that order and part only where a cut or a huge group makes them.
+Running sums over a shard go through bins of the fixed order (size class, hash of the text), the texts of a bin
+and 64 parts of a text, and no window holds a shard's rows. Rows with equal texts follow one another in that
+order, so only a text that a cut meets lies in more than one shard: at most one text for each cut.
 
 Defined cases: a null text has no bytes (size 16) and the CRC of the empty text; rows that repeat are placed
 one by one; an empty table gives no rows; other columns pass through ``reshard``, those named like an output
@@ -93,27 +93,39 @@ def capacities(total: int, shards: int) -> dict[int, int]:
     return {n: total * (n + 1) // shards - total * n // shards for n in range(shards)}
 
 
+#: Bins of the fixed order: size classes an eighth of a power of two wide, largest first, then hashes of the text.
+BINS = ["_size_class", "_high", "_low"]
+#: Within a bin the texts follow one another; the rows of one text are parted by 64 hashes of the doc_id.
+OF_TEXT = ["size", "text_crc32", "_part"]
+
+
 def _order(size: Column, crc: Column, doc_id: Column) -> list[Column]:
-    """Bins of the fixed order: size classes an eighth of a power of two wide, largest first, 64 hashes of
-    the text, 64 of the doc_id."""
-    return [(-F.floor(F.log2(size) * 8)).cast("int").alias("b0"), (crc % 64).cast("int").alias("b1"),
-            F.pmod(F.xxhash64(doc_id), F.lit(64)).cast("int").alias("b2")]
+    bins = (-F.floor(F.log2(size) * 8)).cast("int"), (crc % 64).cast("int"), (F.floor(crc / 64) % 64).cast("int")
+    return [c.alias(n) for c, n in zip((*bins, F.pmod(F.xxhash64(doc_id), F.lit(64)).cast("int")), [*BINS, "_part"], strict=True)]
+
 
+def _running(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each row of its group: before its bin, before its
+    part of a text in the bin, and before it in that part. Equal texts stay together, and still no window
+    holds more than a group's bins, a bin's texts or the 64th part of a text's rows."""
+    def before(keys: list[str], by: list[str], x: Column) -> Column:
+        over = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(x).over(over), F.lit(0))
 
-def _running(df: DataFrame, group: str, bins: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows before each row of its group, by way of its bins."""
-    sums = df.groupBy(group, *bins).agg(F.sum(value).alias("of_bin"))
-    over = Window.partitionBy(group).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(group, *bins, F.coalesce(F.sum("of_bin").over(over), F.lit(0)).alias("before_bin"))
-    within = Window.partitionBy(group, *bins).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("in_bin", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return rows.join(sums, [group, *bins]).withColumn(name, F.col("before_bin") + F.col("in_bin")).drop("before_bin", "in_bin")
+    parts = df.groupBy(*group, *BINS, *OF_TEXT).agg(F.sum(value).alias("_of_part"))
+    bins = parts.groupBy(*group, *BINS).agg(F.sum("_of_part").alias("_of_bin"))
+    bins = bins.select(*group, *BINS, before(group, BINS, F.col("_of_bin")).alias("_before_bin"))
+    parts = parts.select(*group, *BINS, *OF_TEXT, before([*group, *BINS], OF_TEXT, F.col("_of_part")).alias("_before_part"))
+    parts = parts.join(bins, [*group, *BINS]).select(*group, *BINS, *OF_TEXT, (F.col("_before_bin") + F.col("_before_part")).alias("_before"))
+    rows = df.withColumn("_in_part", before([*group, *BINS, *OF_TEXT], order, value))
+    rows = rows.join(parts, [*group, *BINS, *OF_TEXT]).withColumn(name, F.col("_before") + F.col("_in_part"))
+    return rows.drop("_before", "_in_part")
 
 
 def placed(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``rows`` (doc_id, size, text_crc32, old_shard) with shard and slot. Only a sum per old shard comes to
     the driver."""
-    order = ["text_crc32", "doc_id", *(c for c in ROW if c in rows.columns)]
+    order = ["doc_id", *(c for c in ROW if c in rows.columns)]
     rows = saved(rows.select("*", *_order(F.col("size"), F.col("text_crc32"), F.col("doc_id"))))
     supply = {r["old_shard"]: r["n"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("n")).collect()}
     flow = min_cost_flow(supply, capacities(sum(supply.values()), shards))
@@ -126,14 +138,17 @@ def placed(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         by_old.setdefault(o, []).append((lo, hi, n))
     lines = [(o, [{"lo": lo, "hi": hi, "n": n} for lo, hi, n in c]) for o, c in by_old.items()]
     plan = rows.sparkSession.createDataFrame(lines, "old_shard int, cuts array<struct<lo:long,hi:long,n:int>>")
-    bins = ["b0", "b1", "b2"]
-    rows = _running(rows, "old_shard", bins, order, "size", "start")
+    rows = _running(rows, ["old_shard"], order, F.col("size"), "_start")
     # a row goes where its middle lies
-    middle = F.col("start") + F.floor(F.col("size") / 2)
+    middle = F.col("_start") + F.floor(F.col("size") / 2)
     hit = F.filter("cuts", lambda c: (c["lo"] <= middle) & (middle < c["hi"]))
-    rows = rows.join(F.broadcast(plan), "old_shard").withColumn("shard", hit[0]["n"]).drop("cuts", "start")
-    rows = _running(rows.withColumn("one", F.lit(1)), "shard", ["old_shard", *bins], order, "one", "slot")
-    return rows.drop("one", *bins)
+    rows = rows.join(F.broadcast(plan), "old_shard").withColumn("shard", hit[0]["n"]).drop("cuts", "_start")
+    # slots: the old shards of a shard follow one another
+    taken = rows.groupBy("shard", "old_shard").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("shard").orderBy("old_shard").rowsBetween(Window.unboundedPreceding, -1)
+    taken = taken.select("shard", "old_shard", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    rows = _running(rows, ["shard", "old_shard"], order, F.lit(1), "slot").join(taken, ["shard", "old_shard"])
+    return rows.withColumn("slot", F.col("slot") + F.col("_ahead")).drop("_ahead", "_part", *BINS)
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -143,7 +158,11 @@ def sized(df: DataFrame) -> DataFrame:
 
 def reshard(df: DataFrame, old_shard: Column, shards: int = SHARDS) -> DataFrame:
     """``df`` (doc_id, text, ...) in ``shards`` new shards; ``old_shard`` says where each row lies now."""
-    return placed(sized(df).withColumn("old_shard", old_shard.cast("int")), shards)
+    rows = sized(df.select("*", old_shard.cast("int").alias("_at"))).withColumnRenamed("_at", "old_shard")
+    own = ["doc_id", "size", "text_crc32", "old_shard"]
+    rest = [c for c in rows.columns if c not in own]  # travels in one column, so that no name meets a working column
+    out = placed(rows.select(*own, F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest")), shards)
+    return out.select(*own, "shard", "slot", "_rest.*").select(*(f"`{c}`" for c in rows.columns), "shard", "slot")
 
 
 def affected(rows: DataFrame) -> DataFrame:

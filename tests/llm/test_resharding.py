@@ -1,5 +1,7 @@
 """Resharded tables as they lie in files: no row is lost or doubled, and shards nobody touches keep their files."""
 
+import random
+import zlib
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -63,3 +65,39 @@ def test_op10_reads_its_rows_back_from_the_shards(spark, tmp_path, monkeypatch):
     lies = spark.read.parquet(*layouts[0].values())
     assert Counter((r["doc_id"], r["text"], r["lang"]) for r in lies.collect()) == Counter(data)
     assert sorted((r["shard"], r["slot"]) for r in lies.collect()) == sorted((r["shard"], r["slot"]) for r in got)
+
+
+def test_equal_texts_part_only_at_cuts(spark):
+    """Many texts of one size whose CRCs fall into one bin: only a text that a cut meets lies in two shards."""
+    texts, i = [], 0
+    while len(texts) < 40:
+        t = f"{i:08d}"
+        if zlib.crc32(t.encode()) % 4096 == 7:
+            texts.append(t)
+        i += 1
+    rows = spark.createDataFrame([(20 * n + k, t) for n, t in enumerate(texts) for k in range(20)], "doc_id long, text string")
+    got = sharding.reshard(rows, F.lit(0), 5).collect()
+    lies = {t: {r["shard"] for r in got if r["text"] == t} for t in texts}
+    assert sum(len(s) - 1 for s in lies.values()) <= 4
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts) == set(range(5)) and max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_names_of_working_columns_pass_through(spark):
+    rows = spark.createDataFrame([(i, "t" * i, 1, "s", 2, 3) for i in range(9)],
+                                 "doc_id long, text string, start int, one string, b0 int, _part int")
+    got = sharding.reshard(rows, F.lit(0), 2).collect()
+    assert {(r["start"], r["one"], r["b0"], r["_part"]) for r in got} == {(1, "s", 2, 3)} and len(got) == 9
+
+
+def test_flow_is_cheapest():
+    """Bytes that move at least: what an old shard holds beyond its own new capacity (others must move at any rate)."""
+    rng = random.Random(4)
+    for _ in range(200):
+        old = {o: rng.randrange(30) for o in range(rng.randrange(1, 6))}
+        new = sharding.capacities(sum(old.values()), rng.randrange(1, 7))
+        flow = sharding.min_cost_flow(old, new)
+        for o, amount in old.items():
+            assert sum(x for (a, _), x in flow.items() if a == o) == amount
+        assert all(sum(x for (_, b), x in flow.items() if b == n) == c for n, c in new.items())
+        assert sum(x for (a, b), x in flow.items() if a != b) == sum(max(x - new.get(o, 0), 0) for o, x in old.items())
