@@ -153,7 +153,8 @@ def scan(df: DataFrame, fdr: float = FDR) -> DataFrame:
     added = random_runs(battery(runs), fdr).groupBy("doc_id", "crc").agg(
         F.collect_list(F.struct("start", F.lit(3).alias("rank"), "end")).alias("added"))
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
-    spans = hits.join(added, ["doc_id", "crc"], "left").select("doc_id", "crc", spans.alias("spans")).filter("size(spans) > 0")
+    own = hits["doc_id"].eqNullSafe(added["doc_id"]) & (hits["crc"] == added["crc"])  # also where the doc_id is null
+    spans = hits.join(added, own, "left").select(hits["doc_id"], hits["crc"], spans.alias("spans")).filter("size(spans) > 0")
     same = (docs["doc_id"].eqNullSafe(spans["doc_id"])) & (F.crc32(F.coalesce(docs["text"], F.lit(""))) == spans["crc"])
     return docs.join(spans, same, "left").select(*(docs[c] for c in docs.columns), F.coalesce(
         spans["spans"], F.array().cast("array<struct<start:int,rank:int,end:int>>")).alias("spans"))
