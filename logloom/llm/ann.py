@@ -234,7 +234,8 @@ class Index:
                 yield pa.RecordBatch.from_arrays([pa.array([leaf for v in leaves for leaf in v], pa.int32()), batch.column("id").take(
                     at), batch.column("v").take(at)], ["leaf", "id", "v"])
 
-        asked = queries.filter(F.size("v") == self.dim).select("id", "v").mapInArrow(plan, "leaf int, id long, v array<double>")
+        # a query row that repeats is asked once
+        asked = queries.filter(F.size("v") == self.dim).select("id", "v").distinct().mapInArrow(plan, "leaf int, id long, v array<double>")
         pairs = _by_leaf(asked, QUERY_BLOCK, "q").join(self.blocks.drop("dim"), "leaf")
         return _ranked(_nearest(pairs, k), k).select("query_id", "rank", "vec_id", "score")
 

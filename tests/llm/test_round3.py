@@ -198,3 +198,20 @@ def test_a_repeated_query_lists_each_neighbour_once(spark):
         scores = sorted(((-int(np.dot(rows[i][1], v)), j) for j, v in rows if j != i))[:10]
         assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == [
             (n, j, -s) for n, (s, j) in enumerate(scores, 1)]
+
+
+def test_a_null_doc_id_keeps_its_added_spans(spark):
+    from logloom.llm import secrets
+    key = "qZ8kT1vX0pLr7WcJ3nBd5yHs2MfGa9Ue4KtRiVo6"
+    rows = spark.createDataFrame([(None, f"see {key} now"), (1, f"see {key} now"), (2, "nothing")], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(rows).collect()}
+    assert spans[None] == spans[1] != [] and spans[2] == []
+
+
+def test_ann_lists_each_neighbour_once_for_a_repeated_query(spark):
+    from logloom.llm import ann
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(80)]
+    index = ann.Index(spark.createDataFrame(rows, "id long, v array<double>"))
+    got = index.search(spark.createDataFrame([rows[3], rows[3]], "id long, v array<double>"), 10).collect()
+    assert len(got) == len({r["vec_id"] for r in got}) == 10
