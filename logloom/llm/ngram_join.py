@@ -218,13 +218,15 @@ def _sets(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.nda
                     firsts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())), pa.array(
                     sketches, pa.list_(pa.int64()))], ["doc_id", "n", "class", "skipped", "prefix", "parts", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n int, class long, skipped int, prefix array<long>, parts array<int>, sketch array<long>")
+    rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, n int, class long, skipped int, prefix array<long>, parts array<int>, sketch array<long>"))
+    shared.destroy()  # the rows are in files now; a session that runs many joins keeps none of their tables
+    return rows
 
 
 def _elements(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """class, set (array<long>) of the classes in ``wanted`` and of few others: a filter of fixed size says
-    which documents' sets leave their task; one for a class in a task."""
+    """class, set (array<long>) of the classes in ``wanted``, as a written table: a filter of fixed size says
+    which documents' sets leave their task, one for a class in a task."""
     bits = wanted.select(F.pmod("class", F.lit(1 << FILTER_BITS)).alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("x")).toPandas()
     table_ = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -246,7 +248,10 @@ def _elements(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                     sets.append(x.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["class", "set"])
 
-    return docs.select("text").mapInArrow(run, "class long, set array<long>")
+    found = docs.select("text").mapInArrow(run, "class long, set array<long>")
+    found = saved(found.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "uncompressed")
+    shared.destroy()
+    return found
 
 
 class Join:
@@ -276,7 +281,7 @@ class Join:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        sets = saved(_elements(self.docs, self.k, ends).join(ends, "class", "left_semi").dropDuplicates(["class"]), "uncompressed")
+        sets = _elements(self.docs, self.k, ends)
         both = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
         same = both.withColumn("i", F.size(F.array_intersect("a_set", "b_set")))
         return same.filter(f"100 * i >= {self.percent} * (an + bn - i)").select("a", "b")
@@ -321,7 +326,7 @@ class Join:
     def _joined(self) -> tuple[DataFrame, ...]:
         """Rows with their class, what is known of classes, their prefix elements, components, and the links that
         were found and pairs that were compared on the way to the components."""
-        rows = saved(_sets(self.docs, self.k, self.percent, frequencies(self.docs, self.k)))
+        rows = _sets(self.docs, self.k, self.percent, frequencies(self.docs, self.k))
         met = rows.filter("size(prefix) > 0")
         posts = met.select("class", "n", F.posexplode("prefix").alias("at", "key"), "skipped").select(
             "key", F.struct("class", "n", (F.col("at") + F.col("skipped")).alias("pos")).alias("s"))
