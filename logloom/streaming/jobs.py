@@ -1,4 +1,4 @@
-"""Structured Streaming: continuous parse, throughput counts, cluster thresholds, replay dedup."""
+"""Structured Streaming: continuous parse, throughput counts, replay dedup (``watch.py``: cluster thresholds)."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import heal, sinks
-from ..operators.archive import archive_rows
+from ..operators import sinks
+from ..operators.archive import write_archive
 from ..operators.dlq import quarantine
 from ..plans.pipeline import parse_flat, prepare_session, to_events
 from ..plans.registry import Registry
 from ..sources.ingest import mint_ids
+from .watch import changes
 
 Sink = Callable[[DataFrame], None]
 
@@ -30,22 +31,29 @@ def batch_path(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/batch={batch_id}"
 
 
-def table_sinks(events_path: str, dlq_path: str, batch_id: int, archive_path: str | None = None) -> dict[str, Sink]:
+def table_sinks(events_path: str, dlq_path: str, batch_id: int, archive_path: str | None = None,
+                changes_path: str | None = None) -> dict[str, Sink]:
     """Sinks of one micro-batch.  Every batch owns its folder and overwrites it, so a
-    batch that is run again after a lost executor or a restart leaves no duplicates."""
+    batch that is run again after a lost executor or a restart leaves no duplicates.
+    Below it, events lie by source and day, as ``read_normalized`` looks for them, and the
+    archive by source and hour.  ``changes_path`` feeds the cluster watch."""
     out: dict[str, Sink] = {
-        "events": lambda flat: to_events(flat).write.mode("overwrite").parquet(batch_path(events_path, batch_id)),
+        "events": lambda flat: sinks.write_parquet(to_events(flat), batch_path(events_path, batch_id), "overwrite"),
         "dlq": lambda flat: quarantine(flat.filter("reason IS NOT NULL")).write.mode("overwrite").parquet(
             batch_path(dlq_path, batch_id)),
     }
     if archive_path:
-        out["archive"] = lambda flat: archive_rows(flat).write.mode("overwrite").parquet(batch_path(archive_path, batch_id))
+        out["archive"] = lambda flat: write_archive(flat, batch_path(archive_path, batch_id), "overwrite")
+    if changes_path:
+        out["changes"] = lambda flat: changes(quarantine(flat.filter("reason IS NOT NULL")), f"batch {batch_id}").write.mode(
+            "overwrite").parquet(batch_path(changes_path, batch_id))
     return out
 
 
 def parse_stream(raw: DataFrame, registry: Registry, events_path: str, dlq_path: str, checkpoint: str,
                  archive_path: str | None = None, extra: Mapping[str, Sink] | None = None,
-                 row_key: str = "file", report: Callable[[int, dict], None] | None = None, **trigger) -> StreamingQuery:
+                 row_key: str = "file", report: Callable[[int, dict], None] | None = None, changes_path: str | None = None,
+                 **trigger) -> StreamingQuery:
     """Raw lines (``raw``, ``channel``, ``ingest_time``) -> event and DLQ tables.
 
     At-least-once input plus overwritten batch folders gives each line once; equal lines of
@@ -59,7 +67,7 @@ def parse_stream(raw: DataFrame, registry: Registry, events_path: str, dlq_path:
     def write(batch: DataFrame, batch_id: int) -> None:
         minted = batch if "event_id" in batch.columns else mint_ids(batch, row_key, number_equal=True)
         flat = parse_flat(minted.withColumn("text", F.expr("make_valid_utf8(CAST(raw AS STRING))")), registry)
-        required = table_sinks(events_path, dlq_path, batch_id, archive_path)
+        required = table_sinks(events_path, dlq_path, batch_id, archive_path, changes_path)
         failures = sinks.fan_out(flat, {**required, **(extra or {})})
         broken = {k: v for k, v in failures.items() if v and k in required}
         lost = {k: v for k, v in failures.items() if v and k not in required}
@@ -83,23 +91,3 @@ def throughput(stream: DataFrame, ts: str = "ts", bucket: str = "1 second", late
 def dedup(stream: DataFrame, ts: str = "ts", within: str = "1 hour") -> DataFrame:
     """Each event id once, for replays that arrive within the watermark."""
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def watch_clusters(spark: SparkSession, trigger_stream: DataFrame, dlq_table: str, proposals: Callable[[], DataFrame],
-                   on_ready: Callable[[DataFrame, int], None], checkpoint: str, now: Callable[[], str] | None = None,
-                   **trigger) -> StreamingQuery:
-    """Re-evaluates the cluster decision whenever quarantine rows arrive.
-
-    The decision reads the whole quarantine table, reduced to one row per cluster
-    before anything else; ``on_ready`` gets the clusters that need a proposal.
-    """
-    def tick(_: DataFrame, batch_id: int) -> None:
-        rows = spark.read.option("mergeSchema", "false").parquet(dlq_table).filter("status = 'pending'")
-        clusters = rows.groupBy("cluster_id").agg(F.count("*").alias("count"), F.min("ts").alias("first_ts"))
-        clock = now() if now else None
-        at = F.lit(clock).cast("timestamp") if clock else F.current_timestamp()
-        states = heal.decide(clusters, rows, proposals(), at)
-        on_ready(states.filter("state IN ('ready', 'refresh')"), batch_id)
-
-    return (trigger_stream.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
