@@ -105,28 +105,49 @@ def cidr_table(spark, cidrs) -> DataFrame:
         rows, "cidr STRING, version INT, low4 BIGINT, high4 BIGINT, low6 STRING, high6 STRING")
 
 
+def network_bounds(networks: DataFrame, cidr: str = "cidr") -> DataFrame:
+    """A column of network texts -> (cidr, low4, high4, low6, high6), each network once; host bits are cleared
+    and texts that are no network are left out."""
+    size = "try_cast(split(cidr, '/')[1] AS INT)"
+    df = networks.select(F.col(cidr).alias("cidr")).filter("cidr IS NOT NULL").distinct().selectExpr(
+        "cidr", "split(cidr, '/')[0] AS _ip", f"CASE WHEN contains(cidr, '/') THEN {size} WHEN contains(cidr, ':') THEN 128 ELSE 32 END AS _p")
+    df = df.selectExpr("cidr", "_p", f"{ipf.ipv4_num('_ip')} AS _n4", f"{ipf.ipv6_hex('_ip')} AS _n6")
+    df = df.filter("(_n4 IS NOT NULL AND _p BETWEEN 0 AND 32) OR (_n6 IS NOT NULL AND _p BETWEEN 0 AND 128)")
+    host = "(shiftleft(1L, 32 - _p) - 1)"
+    nibble = "CAST(conv(substr(_n6, _p DIV 4 + 1, 1), 16, 10) AS INT)"
+    free = "(shiftright(15, _p % 4))"  # host bits of the digit that the prefix ends in
+    digit = "lower(hex({}))"
+    low = digit.format(f"{nibble} & ~{free}")
+    high = digit.format(f"{nibble} | {free}")
+    ends = "CASE WHEN _n6 IS NULL THEN NULL WHEN _p = 128 THEN _n6 ELSE concat(left(_n6, _p DIV 4), {}, repeat('{}', 31 - _p DIV 4)) END"
+    return df.selectExpr("cidr", f"CASE WHEN _n4 IS NOT NULL THEN _n4 & ~{host} END AS low4", f"CASE WHEN _n4 IS NOT NULL THEN _n4 | {host} END AS high4",
+                         f"{ends.format(low, '0')} AS low6", f"{ends.format(high, 'f')} AS high6")
+
+
 def join_cidrs(df: DataFrame, ip: str, networks: DataFrame, bucket_bits: int = 16) -> DataFrame:
     """Every (row, network) pair whose address lies in the network, for a network TABLE.
 
-    Range join as an equi-join: an IPv4 network is listed under each
-    2^(32-bucket_bits) block it covers and an address under its own block; the
-    range test finishes the match.  IPv6 uses the first 16 bits the same way.
-    The block count of a network is bounded (65536 at most), no side is assumed
-    small, and AQE splits a hot block.
+    Range join as an equi-join.  An IPv4 network is listed under each 2^(32-bucket_bits)
+    block it covers (65536 at most) and an address under its own block.  An IPv6 network is
+    listed once, under the whole digits of its prefix; an address is looked up at each
+    prefix length that the table has (33 at most; the set of lengths is read first).  The
+    range test finishes the match, no side is assumed small, and AQE splits a hot block.
     """
     shift = 32 - bucket_bits
     keep = [f"`{c}`" for c in df.columns]
+    # leading digits that the ends of a network share
+    depth = "CASE WHEN low6 = high6 THEN 32 ELSE array_min(filter(sequence(0, 31), i -> substr(low6, i + 1, 1) <> substr(high6, i + 1, 1))) END"
+    found = networks.filter("low6 IS NOT NULL").select(F.expr(depth).alias("d")).distinct().collect()
+    depths = ", ".join(str(d) for d in sorted(r["d"] for r in found))
     left = df.selectExpr(*keep, f"{ipf.ipv4_num(ip)} AS _n4", f"{ipf.ipv6_hex(ip)} AS _n6")
     left = left.selectExpr(
-        *keep, "_n4", "_n6",
-        f"CASE WHEN _n4 IS NOT NULL THEN concat('4:', shiftright(_n4, {shift}))"
-        f" WHEN _n6 IS NOT NULL THEN concat('6:', conv(left(_n6, 4), 16, 10)) END AS _block").filter("_block IS NOT NULL")
+        *keep, "_n4", "_n6", f"explode(CASE WHEN _n4 IS NOT NULL THEN array(concat('4:', shiftright(_n4, {shift})))"
+        + (f" WHEN _n6 IS NOT NULL THEN transform(array({depths}), d -> concat('6:', d, ':', left(_n6, d)))" if found else "")
+        + " END) AS _block")
     right = networks.selectExpr(
         "cidr", "low4", "high4", "low6", "high6",
         f"explode(CASE WHEN low4 IS NOT NULL THEN transform(sequence(shiftright(low4, {shift}),"
-        f" shiftright(high4, {shift})), b -> concat('4:', b)) ELSE transform(sequence("
-        f"CAST(conv(left(low6, 4), 16, 10) AS BIGINT), CAST(conv(left(high6, 4), 16, 10) AS BIGINT)),"
-        f" b -> concat('6:', b)) END) AS _block")
+        f" shiftright(high4, {shift})), b -> concat('4:', b)) ELSE array(concat('6:', {depth}, ':', left(low6, {depth}))) END) AS _block")
     hit = F.expr("coalesce(_n4 BETWEEN low4 AND high4, false) OR coalesce(_n6 BETWEEN low6 AND high6, false)")
     joined = left.join(right, "_block").filter(hit)
     return joined.select(*df.columns, "cidr")

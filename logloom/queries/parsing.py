@@ -565,6 +565,18 @@ def join_cidr_range(spark, sf):
     return enrich.join_cidrs(df.selectExpr("eid", "src"), "src", nets).select("eid", "cidr")
 
 
+@query("join_cidr6", BASE + ", h AS (SELECT eid, user_id % 4096 AS h FROM d) SELECT eid, '2001:db8::/32' AS cidr FROM h UNION ALL "
+       "SELECT eid, '2001:db8:' || printf('%x', h - h % 16) || '::/44' AS cidr FROM h UNION ALL SELECT eid, '2001:db8:' || printf('%x', h) || ':8000::/49' AS cidr FROM h WHERE eid % 2 = 1")
+def join_cidr6(spark, sf):
+    """IPv6 addresses, all of one /16, against nested networks derived from the users."""
+    df = fx.base(spark, sf)
+    site = "lower(hex(user_id % 4096))"
+    nets = df.selectExpr(f"explode(array('2001:db8::/32', concat('2001:db8:', lower(hex(user_id % 4096 - user_id % 16)), '::/44'),"
+                         f" concat('2001:db8:', {site}, ':8000::/49'))) AS cidr")
+    rows = df.selectExpr("eid", f"concat('2001:db8:', {site}, CASE WHEN eid % 2 = 1 THEN ':8001::' ELSE ':7fff::' END, lower(hex(eid % 65536))) AS ip")
+    return enrich.join_cidrs(rows, "ip", enrich.network_bounds(nets)).select("eid", "cidr")
+
+
 def _enriched(spark, sf) -> DataFrame:
     return enrich.enrich_endpoints(fx.base(spark, sf).selectExpr("eid", "src AS src_ip", "dst AS dst_ip", "dport AS dst_port"))
 
