@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans.pipeline import prepare_session
-from .sources.ingest import mint_ids
+from .sources.ingest import mint_ids, spread
 
 FAMILIES = {
     0: "pfsense", 1: "pfsense", 2: "suricata", 3: "suricata_eve", 4: "squid", 5: "cisco_asa", 6: "fortigate",
@@ -83,7 +83,7 @@ _LINES = {
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare_session(spark)
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_BASE)
+    df = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id").selectExpr(*_BASE)
     df = df.selectExpr(
         "*", "CASE WHEN event_type = 'error' THEN dst0 ELSE src0 END AS src",
         "CASE WHEN event_type = 'error' THEN src0 ELSE dst0 END AS dst", "bytes_out * 2 AS bytes_in",

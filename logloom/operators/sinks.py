@@ -72,10 +72,14 @@ def write_flat(events: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def feature_table(events: DataFrame, ordered: bool = True) -> DataFrame:
-    """The ML table; integers that do not parse become NULL."""
+    """The ML table; integers that do not parse become NULL.
+
+    A range sort reads its input twice, once for the sample of its borders. The shuffle by ``uid`` before it keeps the
+    finished rows, so that the events are parsed once.
+    """
     cols = [F.expr(f"try_cast({path} AS {typ})").alias(name) for name, (path, typ) in FEATURES.items()]
     out = events.select(*cols)
-    return out.orderBy("time_ms", "uid") if ordered else out
+    return out.repartition("uid").orderBy("time_ms", "uid") if ordered else out
 
 
 def cef_escape_header(s: str) -> str:

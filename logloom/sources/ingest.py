@@ -144,6 +144,16 @@ def read_normalized(spark: SparkSession, path: str, source: str | None = None, d
     return df
 
 
+def spread(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
+    """The same rows dealt by ``key`` over tasks of about ``rows`` each.
+
+    A scan's tasks follow the bytes of its files. A narrow, well packed table then gives few tasks, whatever each row
+    costs later; here their number follows the rows (counted from the files' footers), at the price of one shuffle.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, key)
+
+
 def mint_ids(df: DataFrame, row_key: str, raw: str = "raw", channel: str = "channel",
              source: str | None = None, number_equal: bool = False) -> DataFrame:
     """Adds event_id, sha256, size_bytes and raw_ref.
