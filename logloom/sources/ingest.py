@@ -94,6 +94,19 @@ def frames(blob: bytes) -> Iterator[bytes]:
         yield rest
 
 
+def unframed(streams: Iterator[tuple], most: int = 10_000) -> Iterator[list[tuple]]:
+    """Lists of ``most`` messages (keys, frame_no, raw) over any number of streams (keys, blob), short or long."""
+    out = []
+    for *head, blob in streams:
+        for i, msg in enumerate(frames(bytes(blob))):
+            out.append((*head, i, msg))
+            if len(out) == most:
+                yield out
+                out = []
+    if out:
+        yield out
+
+
 def deframe_syslog(df: DataFrame, blob_col: str = "content", key_cols=("path",)) -> DataFrame:
     """Captured byte streams -> (keys, frame_no, raw).
 
@@ -105,18 +118,9 @@ def deframe_syslog(df: DataFrame, blob_col: str = "content", key_cols=("path",))
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", frame_no BIGINT, raw BINARY"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                rec = row._asdict() if hasattr(row, "_asdict") else dict(zip(pdf.columns, row))
-                head = [rec[k] for k in keys]
-                out = []
-                for i, msg in enumerate(frames(bytes(rec[blob_col]))):
-                    out.append((*head, i, msg))
-                    if len(out) == 10_000:
-                        yield pd.DataFrame(out, columns=[*keys, "frame_no", "raw"])
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=[*keys, "frame_no", "raw"])
+        streams = (row for pdf in batches for row in pdf.itertuples(index=False, name=None))
+        for out in unframed(streams):
+            yield pd.DataFrame(out, columns=[*keys, "frame_no", "raw"])
 
     return df.select(*keys, blob_col).mapInPandas(run, schema)
 
