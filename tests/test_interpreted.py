@@ -100,3 +100,13 @@ def test_scores_of_many_candidates_in_one_job(spark):
     assert best == {"c1": "c1:good", "c2": "c2:nothing"}
     _, failing = regression.check_candidates(ip.with_rules(cands).filter("rules.problem IS NULL"), ip.with_rules(live), corpus, exp)
     assert {(r["file"], r["line_no"]) for r in failing.filter("candidate = 'c2:replaces'").collect()} == {("pf", 1), ("pf", 2)}
+
+
+def test_lines_are_judged_in_as_many_tasks_as_their_number_asks(spark):
+    """Few bytes may be much work: the optimizer must not put the tries of all lines into one task."""
+    lines = spark.range(4000).selectExpr("id AS n", "concat('kind=a id=', id) AS text", "'udp:5514' AS channel", "current_timestamp() AS ingest_time")
+    doc = {"source_id": "a", "fingerprint": {"type": "contains", "pattern": "kind=a"}, "tokenize": {"type": "kv"}, "mapping": {"fields": {"id": "message"}}}
+    live = ip.with_rules(spark.createDataFrame([("a", json.dumps(doc))], "definition_id STRING, definition STRING"))
+    got = ip.claims(lines, live, ["n"], rows=500).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 4 and max(sizes) < 2000
