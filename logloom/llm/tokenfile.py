@@ -146,46 +146,47 @@ def _encoder(path: str) -> PieceEncoder:
     for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
         width[i] = len(token)  # a character of the byte alphabet for each byte
 
-    def words_of(words: list[str]) -> list[bytes]:
-        """Words that begin with a space stay words when joined, so thousands go in one call; the bytes
-        that tokens stand for tell which tokens belong to which word."""
-        out = dict.fromkeys(words, b"")
-        joined = [w for w in words if w[:1] == " " and len(w) > 1 and not w.isspace()]
-        rest = [w for w in words if not (w[:1] == " " and len(w) > 1 and not w.isspace())]
-        out.update(zip(rest, alone(rest), strict=True))
-        for lo in range(0, len(joined), 16384):
-            some = joined[lo:lo + 16384]
-            ids = np.array(tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(w.encode()) for w in some])) + 1
-            data, ends = ids.tobytes(), (ends * 4).tolist()
-            out.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
-        return [out[w] for w in words]
-
-    return PieceEncoder(words_of, special)
+    def pieces_of(pieces: list[str]) -> list[bytes]:
+        """Pieces stay apart when they are joined by spaces, so thousands go in one call; the bytes that tokens
+        stand for tell which tokens belong to which piece."""
+        out = []
+        for lo in range(0, len(pieces), 4096):
+            some = pieces[lo:lo + 4096]
+            joined = " " + " ".join(some)
+            ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            lengths = np.fromiter(map(len, some if joined.isascii() else map(str.encode, some)), np.int64, len(some))
+            ends = ((np.searchsorted(np.cumsum(width[ids]), np.cumsum(lengths + 1)) + 1) * 4).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    return PieceEncoder(alone, special, 1_600_000, pieces_of)
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, block_ids: int = 1 << 20) -> None:
     """Writes the ids of every text and ``end_id`` after each, in ascending doc_id order: part files hold
     consecutive ranges of doc_id, blocks of a part follow ``block``."""
     source = tokenizer or default_tokenizer()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         doc_ids, coded, size, k = [], [], 0, 0
 
         def block():
-            sizes = np.array([len(x) // 4 for x in coded], np.int64)
-            data = write_block(doc_ids, sizes, np.frombuffer(b"".join(coded), "<u4"))
+            sizes = np.array([len(x) for x in coded], np.int64)
+            data = write_block(doc_ids, sizes, np.concatenate(coded))
             return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(sizes.sum())], pa.int64()), pa.array(
                 [data], pa.binary())], ["block", "n_ids", "data"])
 
         for batch in batches:
             ids, at = batch.column("doc_id").to_pylist(), 0
-            for part in slices([t or "" for t in batch.column("text").to_pylist()]):
-                for x in _encoder(source).encode(part):
+            for part in slices([t or "" for t in batch.column("text").to_pylist()], 8_000_000):
+                flat, sizes = _encoder(source).encode_flat(part)
+                ends = np.cumsum(sizes)
+                flat = np.insert(flat, ends, end_id)
+                for x in np.split(flat, (ends + np.arange(1, len(ends) + 1))[:-1]):
                     doc_ids.append(ids[at])
-                    coded.append(x + end)
-                    at, size = at + 1, size + len(x) // 4 + 1
+                    coded.append(x)
+                    at, size = at + 1, size + len(x)
                     if size >= block_ids:
                         yield block()
                         doc_ids, coded, size, k = [], [], 0, k + 1

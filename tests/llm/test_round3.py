@@ -3,6 +3,7 @@ repeated rows, clashing column names, empty tables."""
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -215,3 +216,22 @@ def test_ann_lists_each_neighbour_once_for_a_repeated_query(spark):
     index = ann.Index(spark.createDataFrame(rows, "id long, v array<double>"))
     got = index.search(spark.createDataFrame([rows[3], rows[3]], "id long, v array<double>"), 10).collect()
     assert len(got) == len({r["vec_id"] for r in got}) == 10
+
+
+def test_unknown_pieces_go_to_the_tokenizer_together():
+    from logloom.llm import bpe, tokenfile
+    from tokenizers import Tokenizer
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéß漢'.,!\n-1", k=rng.randint(1, 9))) for _ in range(6000)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(40)] + [
+        "", " ", "  two  spaces ", "a\n b \n", "x<|endoftext|>y <|endoftext|> z", "  n  b", "tail  "]
+    encoder = tokenfile._encoder.__wrapped__(bpe.default_tokenizer())
+    calls, inner = [], encoder._encode_pieces
+    encoder._encode_pieces = lambda pieces: calls.append(len(pieces)) or inner(pieces)
+    plain = Tokenizer.from_file(bpe.default_tokenizer())
+    for _ in range(2):  # the second time from memory
+        ids, sizes = encoder.encode_flat(texts)
+        ends = sizes.cumsum()
+        got = [ids[e - n:e].tolist() for e, n in zip(ends, sizes, strict=True)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 2 and calls[0] > 3000 and calls[1] < 20
