@@ -28,8 +28,6 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 from .common import saved, shared_dir, table
 
 SHARDS, OLD = 40, 32
-#: Slots that one task writes together.
-RUN = 1024
 OUTPUTS = ("size", "text_crc32", "old_shard", "shard", "slot")
 #: Where a row lies in the files read: its name between the placement and the rewrite.
 ROW = ("_file", "_row")
@@ -190,8 +188,9 @@ def rewrite(source: DataFrame, rows: DataFrame, layout: dict[int, str], path: st
     folder = f"{path}/reshard-{uuid.uuid4().hex}"
     if anew:
         some = rows.filter(F.col("shard").isin(anew)).select(*ROW, "size", "text_crc32", F.col("shard").cast("int"), F.col("slot").cast("long"))
+        # the join's tasks write their rows of every shard: texts are shuffled once, not a second time by shard
         (source.drop(*OUTPUTS).join(some, list(ROW)).drop(*ROW).withColumn("part", F.col("shard"))
-         .repartition("shard", F.floor(F.col("slot") / RUN)).sortWithinPartitions("part", "slot").write.partitionBy("part").parquet(folder, compression="zstd"))
+         .sortWithinPartitions("part", "slot").write.partitionBy("part").parquet(folder, compression="zstd"))
     new = kept | {n: f"{folder}/part={n}" for n in anew}
     spark.createDataFrame(sorted(new.items()), "shard int, folder string").coalesce(1).write.parquet(f"{folder}/_layout")
     return new

@@ -101,3 +101,19 @@ def test_flow_is_cheapest():
             assert sum(x for (a, _), x in flow.items() if a == o) == amount
         assert all(sum(x for (_, b), x in flow.items() if b == n) == c for n, c in new.items())
         assert sum(x for (a, b), x in flow.items() if a != b) == sum(max(x - new.get(o, 0), 0) for o, x in old.items())
+
+
+def test_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr("id AS doc_id", "repeat(CAST(id AS STRING), 9) AS text", "'en' AS lang").write.parquet(str(tmp_path / "in"))
+    source = sharding.keyed(spark.read.parquet(str(tmp_path / "in")))
+    rows = sharding.sized(source).select("doc_id", *sharding.ROW, "size", "text_crc32", (F.col("doc_id") % 3).cast("int").alias("old_shard"),
+                                         (F.col("doc_id") % 5).alias("shard"), F.floor(F.col("doc_id") / 5).alias("slot"))
+    plans = []
+    writer = type(source.write)
+    write = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **k))[1])
+    layout = sharding.rewrite(source, rows, {}, str(tmp_path))
+    (plan,) = [p for p in plans if "Join" in p]
+    assert "REPARTITION" not in plan  # nothing is shuffled after the join
+    got = sharding.stored(spark, layout, source.schema).collect()
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in got) == [(i, i % 5, i // 5) for i in range(300)]
