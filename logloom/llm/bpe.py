@@ -18,12 +18,13 @@ import json
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
-from .pieces import PieceEncoder, as_ids, slices
+from .common import chunks, table
+from .pieces import PieceEncoder
 
 NEVER = 1 << 60
 
@@ -41,6 +42,18 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _bytes_of(spec: dict) -> dict[int, bytes]:
+    to_byte, added = byte_alphabet(), {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
+    return {i: bytes(to_byte[c] for c in token) for token, i in spec["model"]["vocab"].items() if i not in added} | added
+
+
+@functools.cache
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each token: all that decoding needs of a vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        return _bytes_of(json.load(f))
+
+
 class Vocabulary:
     """Merge trees, the automaton and the pair test of a byte-level BPE file."""
 
@@ -53,14 +66,9 @@ class Vocabulary:
                 or cutter["type"] != "ByteLevel" or cutter["add_prefix_space"] or not cutter.get("use_regex", True)
                 or len(added) > 1 or any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added)):
             raise ValueError("only plain byte-level BPE files are supported")
-        to_byte = byte_alphabet()
         self.special = added[0]["content"] if added else None
         special_id = added[0]["id"] if added else None
-        self.bytes_of: dict[int, bytes] = {}
-        for token, i in model["vocab"].items():
-            self.bytes_of[i] = token.encode() if i == special_id else bytes(to_byte[c] for c in token)
-        if added:
-            self.bytes_of[special_id] = self.special.encode()
+        self.bytes_of = _bytes_of(spec)
         vocab, self.rank, self.made_of = model["vocab"], {}, {}
         for r, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
@@ -151,6 +159,13 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(v.encode_words, v.special, memory=500_000)
 
 
+def _parts(batch: pa.RecordBatch, sizes: pa.Array, most: int):
+    """Slices of consecutive rows of about ``most`` in all, so that the working set of a worker stays small."""
+    bounds = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    for i, j in chunks(bounds, most):
+        yield batch.slice(i, j - i)
+
+
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str | None = None) -> DataFrame:
     """``df`` with the ids of each whole text as ``ids`` (array<int>)."""
     path = tokenizer or default_tokenizer()
@@ -158,12 +173,10 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str |
     names = df.columns
 
     def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            coded = [x for part in slices(texts) for x in _encoder(path).encode(part)]
-            bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
-            flat = pa.array(as_ids(b"".join(coded)).view("<i4"), pa.int32())
-            column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
+        for batch in (part for whole in batches for part in _parts(whole, pc.binary_length(whole.column(text)), 4_000_000)):
+            flat, sizes = _encoder(path).encode_flat([t or "" for t in batch.column(text).to_pylist()])
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view("<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), column], [*names, ids])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
@@ -177,8 +190,8 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", tokenizer: st
     names = df.columns
 
     def run(batches):
-        parts = _vocabulary(path).bytes_of
-        for batch in batches:
+        parts = token_bytes(path)
+        for batch in (part for whole in batches for part in _parts(whole, pc.list_value_length(whole.column(ids)), 1_000_000)):
             column = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
             flat, bounds = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(False))])
             out = [b"".join(map(parts.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace")

@@ -235,3 +235,15 @@ def test_unknown_pieces_go_to_the_tokenizer_together():
         got = [ids[e - n:e].tolist() for e, n in zip(ends, sizes, strict=True)]
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(calls) == 2 and calls[0] > 3000 and calls[1] < 20
+
+
+def test_decoding_needs_no_automaton(spark):
+    from logloom.llm import bpe
+    path = bpe.default_tokenizer()
+    assert bpe.token_bytes(path) == bpe.Vocabulary(path).bytes_of
+    df = spark.createDataFrame([(1, "ab é"), (2, None), (3, "x" * 50)], "doc_id long, text string")
+    back = {r["doc_id"]: r["decoded"] for r in bpe.decode(bpe.encode(df)).collect()}
+    assert back == {1: "ab é", 2: "", 3: "x" * 50}
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 10, "c"]})
+    assert [p.num_rows for p in bpe._parts(batch, pa.array([10, None, 10, 1]), 11)] == [2, 2]
