@@ -156,7 +156,7 @@ def _vocabulary(path: str) -> Vocabulary:
 @functools.cache
 def _encoder(path: str) -> PieceEncoder:
     v = _vocabulary(path)
-    return PieceEncoder(v.encode_words, v.special, memory=500_000)
+    return PieceEncoder(v.encode_words, v.special, memory=300_000)
 
 
 def _parts(batch: pa.RecordBatch, sizes: pa.Array, most: int):
