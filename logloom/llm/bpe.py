@@ -166,20 +166,39 @@ def _parts(batch: pa.RecordBatch, sizes: pa.Array, most: int):
         yield batch.slice(i, j - i)
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str | None = None) -> DataFrame:
-    """``df`` with the ids of each whole text as ``ids`` (array<int>)."""
+def _ids_of(batch: pa.RecordBatch, text: str, path: str) -> pa.Array:
+    """The ids of each text of a batch as a list column."""
+    flat, sizes = _encoder(path).encode_flat([t or "" for t in batch.column(text).to_pylist()])
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view("<i4"), pa.int32()))
+
+
+def _texts_of(column: pa.Array, parts: dict[int, bytes]) -> pa.Array:
+    """The text of each id list of a column."""
+    column = column.fill_null([]) if column.null_count else column
+    flat, bounds = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(False))])
+    return pa.array([b"".join(map(parts.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace")
+                     for a, b in zip(bounds[:-1].astype(int).tolist(), bounds[1:].astype(int).tolist(), strict=True)], pa.string())
+
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str | None = None, decoded: str | None = None) -> DataFrame:
+    """``df`` with the ids of each whole text as ``ids`` (array<int>). With ``decoded`` also the text that the
+    ids decode to, as that column: the same worker decodes them, so no second one holds a vocabulary."""
     path = tokenizer or default_tokenizer()
-    df = df.drop(ids)
+    df = df.drop(ids, *[decoded] * (decoded is not None))
     names = df.columns
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    if decoded is not None:
+        added.append(T.StructField(decoded, T.StringType()))
 
     def run(batches):
         for batch in (part for whole in batches for part in _parts(whole, pc.binary_length(whole.column(text)), 4_000_000)):
-            flat, sizes = _encoder(path).encode_flat([t or "" for t in batch.column(text).to_pylist()])
-            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view("<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), column], [*names, ids])
+            columns = [_ids_of(batch, text, path)]
+            if decoded is not None:
+                columns.append(_texts_of(columns[0], _vocabulary(path).bytes_of))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, *(f.name for f in added)])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", tokenizer: str | None = None) -> DataFrame:
@@ -192,18 +211,14 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", tokenizer: st
     def run(batches):
         parts = token_bytes(path)
         for batch in (part for whole in batches for part in _parts(whole, pc.list_value_length(whole.column(ids)), 1_000_000)):
-            column = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
-            flat, bounds = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(False))])
-            out = [b"".join(map(parts.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace")
-                   for a, b in zip(bounds[:-1].astype(int).tolist(), bounds[1:].astype(int).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], [*names, text])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), _texts_of(batch.column(ids), parts)], [*names, text])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs).drop("text"))
+    coded = encode(docs, decoded="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
