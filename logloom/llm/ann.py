@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .vectors import as_block, best, matrix, packed, usable
+from .vectors import as_block, matrix, usable
 
 SAMPLE, BRANCH, LEAF, CALIBRATION, TARGET = 20_000, 8, 256, 200, 0.97
-BLOCK, QUERY_BLOCK = 1024, 512
+BLOCK, QUERY_BLOCK, HELD, EXACT = 1024, 512, 100_000, 1 << 16
+#: Stands where a query has fewer rows than k so far.
+NOBODY = np.iinfo(np.int64).max
+_FOUND = "query_id long, vec_id long, score double, leaf int"
 
 
 class Tree:
@@ -94,29 +97,78 @@ def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([x, rest[:, None]])
 
 
+def _slack(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """How far a matrix product of queries and rows can be off, as it sums in another order than the exact score."""
+    return 1e-12 * (1 + np.sqrt((q * q).sum(axis=1) * (c * c).sum(axis=1).max(initial=0))) * q.shape[1]
+
+
+class _Found:
+    """The k best rows so far of each of a task's queries, best first, each with the leaf that it lies in."""
+
+    def __init__(self, k: int):
+        self.k, self.place = k, {}
+        self.scores, self.ids, self.leaves = np.zeros((0, k)), np.zeros((0, k), np.int64), np.zeros((0, k), np.int32)
+
+    def compare(self, qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, leaf: int, floor=-np.inf) -> None:
+        """Queries meet the rows of one block: one matrix product, then exact scores for those rows only that
+        reach the k-th score so far, and the score ``floor`` that k rows are known to reach."""
+        at, rough = self._places(qi), q @ c.T
+        own = qi[:, None] == ci
+        rough[own] = -np.inf
+        least = self.scores[at, -1]
+        new = np.flatnonzero(least == -np.inf)
+        if len(ci) > self.k and len(new):
+            least[new] = np.partition(rough[new], len(ci) - self.k, axis=1)[:, len(ci) - self.k]
+        i, j = np.nonzero(~own & ~(rough < np.maximum(least - _slack(q, c), floor)[:, None]))
+        for lo in range(0, len(i), EXACT):
+            a, b = i[lo:lo + EXACT], j[lo:lo + EXACT]
+            self._take(at[a], ci[b], np.cumsum(c[b] * q[a], axis=1)[:, -1], leaf)  # one order of summation for all
+
+    def _places(self, asked: np.ndarray) -> np.ndarray:
+        at = np.array([self.place.setdefault(i, len(self.place)) for i in asked.tolist()], np.int64)
+        more = len(self.place) - len(self.ids)
+        if more:
+            self.scores = np.vstack([self.scores, np.full((more, self.k), -np.inf)])
+            self.ids = np.vstack([self.ids, np.full((more, self.k), NOBODY)])
+            self.leaves = np.vstack([self.leaves, np.zeros((more, self.k), np.int32)])
+        return at
+
+    def _take(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray, leaf: int) -> None:
+        some = np.unique(at)
+        at = np.concatenate([np.repeat(some, self.k), at])
+        scores = np.concatenate([self.scores[some].ravel(), scores])
+        leaves = np.concatenate([self.leaves[some].ravel(), np.full(len(ids), leaf, np.int32)])
+        ids = np.concatenate([self.ids[some].ravel(), ids])
+        order = np.lexsort((ids, -scores, at))
+        starts = np.searchsorted(at[order], some)
+        top = order[starts[:, None] + np.arange(self.k)]
+        self.scores[some], self.ids[some], self.leaves[some] = scores[top], ids[top], leaves[top]
+
+    def rows(self) -> pa.RecordBatch:
+        there = (self.ids != NOBODY) | (self.scores != -np.inf)
+        asked = np.repeat(np.array(list(self.place), np.int64), there.sum(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (asked, self.ids[there], self.scores[there], self.leaves[there])],
+                                          ["query_id", "vec_id", "score", "leaf"])
+
+
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of every pair of a query block and a block of rows."""
+    """The k best of every query among the rows that its task meets; a query's last component is the score below
+    which no row counts. A task sends at most k rows for a query, however many blocks the query meets there; after ``HELD`` queries it sends what it has and starts anew."""
 
     def run(batches):
+        found = _Found(k)
         for batch in batches:
             for row in batch.to_pylist():
                 qi, q = as_block({"ids": row["q_ids"], "data": row["q_data"], "dim": row["dim"]})
-                ci, c = as_block({"ids": row["c_ids"], "data": row["c_data"], "dim": row["dim"]})
-                rough, out = q @ c.T, []
-                slack = 1e-12 * (1 + np.abs(rough).max(initial=0)) * row["dim"]
-                for i in range(len(qi)):
-                    other = np.flatnonzero(ci != qi[i])
-                    r = rough[i, other]
-                    if len(other) > k:
-                        other = other[r >= np.partition(r, len(r) - k)[len(r) - k] - slack]
-                    exact = np.cumsum(c[other] * q[i], axis=1)[:, -1]  # one order of summation for all
-                    top = best(ci[other], exact, k)
-                    out.append((np.full(len(top), qi[i]), ci[other][top], exact[top]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)],
-                                                     ["query_id", "vec_id", "score"])
-
-    return pairs.select("dim", "q_ids", "q_data", "c_ids", "c_data").mapInArrow(run, "query_id long, vec_id long, score double")
+                ci, c = as_block({"ids": row["c_ids"], "data": row["c_data"], "dim": row["dim"] - 1})
+                found.compare(qi, q[:, :-1], ci, c, row["leaf"], q[:, -1])
+                if len(found.ids) > HELD:
+                    yield found.rows()
+                    found = _Found(k)
+        if len(found.ids):
+            yield found.rows()
+
+    return pairs.select("dim", "q_ids", "q_data", "c_ids", "c_data", "leaf").mapInArrow(run, _FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -189,6 +241,7 @@ class Index:
         placed = self.rows.select("id", "v").mapInArrow(assign, "leaf int, id long, v array<double>")
         self.blocks = saved(_by_leaf(placed, BLOCK, "c"))
         self.visits = self._calibrate(sample)
+        self._sample = spark.sparkContext.broadcast(self._placed(sample["id"].to_numpy(np.int64)))
 
     def _calibrate(self, sample, k: int = 20) -> int:
         """The least number of leaves at which the mean recall of the calibration queries reaches TARGET:
@@ -196,21 +249,23 @@ class Index:
         asked = sample.iloc[np.linspace(0, len(sample) - 1, min(CALIBRATION, len(sample))).astype(int)].drop_duplicates("id")
         q = np.stack(asked["v"].to_numpy())
         dim, q_ids, q_data = self.dim, asked["id"].to_numpy(np.int64).tobytes(), q.tobytes()
+        # the k-th score among the sample's rows: no row below it is one of the k nearest, so no task sends it
+        points = np.stack(sample["v"].to_numpy())
+        known = q @ points.T
+        known[asked["id"].to_numpy()[:, None] == sample["id"].to_numpy()] = -np.inf
+        floor = np.full(len(q), -np.inf)
+        if len(points) > k:
+            floor = np.partition(known, len(points) - k, axis=1)[:, len(points) - k] - 2 * _slack(q, points)
 
         def brute(batches):
+            block, best = as_block({"ids": q_ids, "data": q_data, "dim": dim}), _Found(k)
             for batch in batches:
                 for row in batch.to_pylist():
-                    qi, x = np.frombuffer(q_ids, np.int64), np.frombuffer(q_data, np.float64).reshape(-1, dim)
-                    ci, c = as_block({"ids": row["c_ids"], "data": row["c_data"], "dim": dim})
-                    scores, out = x @ c.T, []
-                    for i in range(len(qi)):
-                        other = np.flatnonzero(ci != qi[i])
-                        top = best(ci[other], scores[i, other], k)
-                        out.append((np.full(len(top), qi[i]), ci[other][top], scores[i, other][top], np.full(len(top), row["leaf"], np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
-                                                     ["query_id", "vec_id", "score", "leaf"])
-
-        found = self.blocks.mapInArrow(brute, "query_id long, vec_id long, score double, leaf int")
+                    best.compare(*block, *as_block({"ids": row["c_ids"], "data": row["c_data"], "dim": dim}), row["leaf"], floor)
+            if len(best.ids):
+                yield best.rows()
+
+        found = self.blocks.mapInArrow(brute, _FOUND)
         true = _ranked(found, k).select("query_id", "leaf").toPandas()
         if not len(true):
             return self.tree.leaves
@@ -222,17 +277,56 @@ class Index:
         share = np.array([(needed <= m).mean() for m in range(1, self.tree.leaves + 1)])
         return int(np.argmax(share >= TARGET)) + 1
 
+    def _placed(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaves, ids, points) of the sample's rows, as the index holds them."""
+        wanted, dim = self.rows.sparkSession.sparkContext.broadcast(np.unique(ids)), self.dim
+
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ci, c = as_block({"ids": row["c_ids"], "data": row["c_data"], "dim": dim})
+                    some = np.isin(ci, wanted.value)
+                    if some.any():
+                        yield pa.RecordBatch.from_pydict({"leaf": pa.array([row["leaf"]], pa.int32()), "ids": pa.array(
+                            [ci[some].tobytes()], pa.binary()), "data": pa.array([c[some].tobytes()], pa.binary())})
+
+        found = [(row["leaf"], *as_block({"ids": row["ids"], "data": row["data"], "dim": dim})) for row in self.blocks.mapInArrow(
+            run, "leaf int, ids binary, data binary").collect()]
+        return (np.repeat([leaf for leaf, _, _ in found], [len(i) for _, i, _ in found]), np.concatenate([i for _, i, _ in found]),
+                np.concatenate([x for _, _, x in found]))
+
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """query_id, rank, vec_id, score of the ``k`` nearest found for every query (id, v)."""
-        tree, visits = self._tree, self.visits
+        tree, visits, sample = self._tree, self.visits, self._sample
+
+        def floors(ids, x, leaves):
+            """The k-th score among the sample's rows in the leaves that a query visits: no row below it is one of
+            the k nearest found, so no task sends it."""
+            at, known, points = sample.value
+            out = np.full(len(x), -np.inf)
+            for lo in range(0, len(x) if len(points) > k else 0, 64):
+                q = x[lo:lo + 64]
+                scores, open_ = q @ points.T, np.zeros((len(q), tree.value.leaves), bool)
+                for i, v in enumerate(leaves[lo:lo + 64]):
+                    open_[i, v] = True
+                scores[~open_[:, at] | (ids[lo:lo + 64, None] == known)] = -np.inf
+                out[lo:lo + 64] = np.partition(scores, len(points) - k, axis=1)[:, len(points) - k] - 2 * _slack(q, points)
+            return out
 
         def plan(batches):
             for batch in batches:
                 x = matrix(batch.column("v"))
                 leaves = [tree.value.visits(np.append(row, 0.0), visits) for row in x]
-                at = pa.array(np.repeat(np.arange(len(x)), [len(v) for v in leaves]), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([leaf for v in leaves for leaf in v], pa.int32()), batch.column("id").take(
-                    at), batch.column("v").take(at)], ["leaf", "id", "v"])
+                if not leaves:
+                    continue
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
+                x = np.hstack([x, floors(ids, x, leaves)[:, None]])  # the floor travels behind the vector
+                for lo in range(0, len(x), 64):
+                    some = leaves[lo:lo + 64]
+                    at = np.repeat(np.arange(lo, lo + len(some)), [len(v) for v in some])
+                    v = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * x.shape[1], pa.int32()), pa.array(x[at].ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([leaf for v in some for leaf in v], pa.int32()), pa.array(
+                        ids[at]), v], ["leaf", "id", "v"])
 
         # a query row that repeats is asked once
         asked = queries.filter(F.size("v") == self.dim).select("id", "v").distinct().mapInArrow(plan, "leaf int, id long, v array<double>")
