@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import bpe, langid, mixing, ngram_join, secrets
-from logloom.llm.common import shared_dir
+from logloom.llm.common import saved, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3
@@ -36,12 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     more; documents without words are all kept, a row without an id too unless it is linked to another."""
     docs = docs.select(*COLUMNS)
     told = ngram_join.Join(docs, k=5, percent=80).run()
-    stay = told.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", (F.col("n_shingles") > 0).alias(
-        "worded")).distinct()
-    met = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"])).drop(stay["doc_id"])
-    # rows that repeat a doc_id: one stays, as they are one group
-    return met.filter("worded and doc_id is not null").dropDuplicates(["doc_id"]).unionByName(
-        met.filter("not worded or doc_id is null")).select(*COLUMNS)
+    stay = saved(told.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    nulls = F.col("doc_id").isNull() & F.lit(not stay.filter("doc_id is null").isEmpty())
+    # rows that repeat a doc_id: one stays, as they are one group. One key for both steps, so texts are shuffled once
+    first = docs.filter(worded & F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.select(*COLUMNS).unionByName(docs.filter(~worded | nulls).select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

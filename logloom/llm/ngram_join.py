@@ -331,8 +331,10 @@ class Join:
         posts = met.select("class", "n", F.posexplode("prefix").alias("at", "key"), "skipped").select(
             "key", F.struct("class", "n", (F.col("at") + F.col("skipped")).alias("pos")).alias("s"))
         # elements that several classes hold (tasks of their own may have sent the same class)
+        # all three steps go by the key, so postings are shuffled once for them
+        posts = posts.repartition("key").distinct()
         held = posts.groupBy("key").agg(F.min("s.class").alias("x"), F.max("s.class").alias("y")).filter("x < y").select("key")
-        posts = posts.join(held, "key", "left_semi").distinct()
+        posts = posts.join(held, "key", "left_semi")
         # what stands before an element and is in no other prefix is shared with nobody met there: own counts it
         before = F.row_number().over(Window.partitionBy("s.class").orderBy("s.pos"))
         posts = saved(posts.withColumn("s", F.struct("s.class", "s.n", "s.pos", (F.col("s.pos") + 1 - before).alias("own"))))

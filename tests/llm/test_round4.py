@@ -50,3 +50,18 @@ def test_floors_leave_the_found_neighbours(spark, monkeypatch):
     with_floor = index.search(asked, 20).orderBy("query_id", "rank").collect()
     index._sample = spark.sparkContext.broadcast((np.zeros(0, int), np.zeros(0, int), np.zeros((0, 5))))
     assert with_floor == index.search(asked, 20).orderBy("query_id", "rank").collect() and len(with_floor) == 30 * 20
+
+
+def test_join_stage_keeps_each_row_once_and_shuffles_texts_once(spark):
+    import corpus_pipeline
+    rows = [(1, "a b c d e f"), (1, " \n"), (2, "x y z q r s"), (2, "x y z q r s"), (None, "k l m n o p"), (None, ""), (3, "a b c d e f"), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+            [rows[0], rows[1], rows[2], rows[4], rows[5], rows[7]], key=str)
+        plan = corpus_pipeline.near_duplicates(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 2  # documents and the ids that stay
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
