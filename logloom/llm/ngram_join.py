@@ -13,8 +13,9 @@ No group is expanded into all its pairs. Equal sets form one class and meet as o
 element has a leader, a class is compared with the leader that it shares most elements with, and components
 of the links that hold are formed (twice, with other leaders). A pair inside a component can't change the components any more, so second, only classes of different components meet, those
 outside an element's most common component against all others. Every link between different components is
-found that way, so reachability is exact. Where links are asked for, the classes inside each component that
-were not compared yet then meet under the same filters, so every link between different sets is counted.
+found that way, so reachability is exact. Where links are asked for, each component is dealt into blocks of
+bounded size and every two blocks meet in one task, which counts all their intersections in matrix products: the work grows
+with the pairs of a component, as their links may, but the rows only with its classes and blocks.
 
 Defined cases: ASCII letters are lower-cased and words are runs of bytes other than ASCII white space; a text
 with fewer than ``k`` words is one shingle; a text without words, or null, has an empty set and links with
@@ -33,6 +34,8 @@ from .common import chunks, saved, table, text_bytes
 from .components import components
 
 CELL_BITS, KEY_BITS, SEEN_BITS, PARTS, FILTER_BITS, CHUNK, SKETCH = 18, 36, 27, 32, 24, 1 << 20, 1024
+#: About how many classes and elements a block of a component has, and how many elements a matrix product takes.
+BLOCK_CLASSES, BLOCK_ELEMENTS, COLUMNS = 512, 400_000, 2048
 #: Rounds in which a class meets the likeliest of its elements' leaders, before the rest is compared.
 ROUNDS = 2
 
@@ -254,6 +257,39 @@ def _elements(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     return found
 
 
+def _linked(blocks: pa.Table, percent: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Class names of two blocks of a component (or of one, if it meets itself), and the places among them of the
+    two ends of every link between the blocks (or within the one)."""
+    names, b = blocks.column("class").to_numpy(), blocks.column("b").to_numpy()
+    sets = blocks.column("set").combine_chunks()
+    sizes = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+    of, flat = np.repeat(np.arange(len(names)), sizes), sets.flatten().to_numpy()
+    one = blocks.column("i")[0].as_py() == blocks.column("j")[0].as_py()
+    left = np.flatnonzero(b == b[0])
+    right = left if one else np.flatnonzero(b != b[0])
+    if one:
+        values, place, held = np.unique(flat, return_inverse=True, return_counts=True)
+        common = held > 1
+    else:
+        values, place = np.unique(flat, return_inverse=True)
+        mine = b[of] == b[0]
+        common = (np.bincount(place[mine], minlength=len(values)) > 0) & (np.bincount(place[~mine], minlength=len(values)) > 0)
+    column = np.where(common, np.cumsum(common) - 1, -1)[place]
+    order = np.argsort(column, kind="stable")
+    order = order[np.searchsorted(column[order], 0):]
+    column, of = column[order], of[order]
+    shared = np.zeros((len(left), len(right)), np.int64)
+    # counts are exact: a product adds COLUMNS ones at most
+    for lo in range(0, int(common.sum()), COLUMNS):
+        some = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
+        bits = np.zeros((len(names), COLUMNS), np.float32)
+        bits[of[some], column[some] - lo] = 1
+        shared += (bits[left] @ bits[right].T).astype(np.int64)
+    link = 100 * shared >= percent * (sizes[left][:, None] + sizes[right] - shared)
+    x, y = np.nonzero(np.triu(link, 1) if one else link)
+    return names, (left[x], right[y])
+
+
 class Join:
     """The join of one table; see the module's text for the steps."""
 
@@ -293,39 +329,48 @@ class Join:
         roots = roots.toDF("class", "root")
         return posts.join(roots, posts["s.class"] == roots["class"], "left").select("key", "s", F.coalesce("root", "s.class").alias("root"))
 
-    def _inside(self, posts: DataFrame, known: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-        """Pairs of classes of one component that were not compared yet and pass all filters."""
-        side = self._sided(posts, roots).join(known, F.col("s.class") == known["class"])
-        side = saved(side.select("key", "root", F.col("s").withField("sketch", F.col("sketch")).alias("s")))
-        met = side.withColumnRenamed("s", "a").join(side.withColumnRenamed("s", "b"), ["key", "root"]).filter("a.class < b.class")
-        met = met.filter(self._near()).filter(self._near(shared=_MOST)).filter(
-            self._near(shared=f"(a.n + b.n - ({_turned('a.sketch', 'b.sketch')})) / 2"))
-        return saved(self._filtered(met.select("a", "b"), known).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    def _blocks(self, roots: DataFrame) -> DataFrame:
+        """root, i, j, b, class, set: the blocks i <= j of each component that meet, with the classes of both."""
+        members = _elements(self.docs, self.k, roots.select(F.col("node").alias("class"))).join(roots.toDF("class", "root"), "class")
+        blocks = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum(F.size("set")) / BLOCK_ELEMENTS)).alias("q"))
+        dealt = members.join(blocks, "root").withColumn("b", F.expr("pmod(xxhash64(class), q)"))
+        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)))
+        return dealt.select("root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "class", "set")
 
     def run(self, links: bool = False) -> DataFrame:
         """doc_id, n_shingles, component_id for every row; with ``links`` also class (the name of the row's set,
         null where it is empty) and links (how many other sets link with it)."""
-        rows, known, posts, roots, found, tested = self._joined()
+        rows, roots = self._joined()
         of_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(
             roots.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
         named = of_class.join(named, "root").select("class", "component_id")
         out = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
         if links:
-            pairs = found.union(self._verified(self._inside(posts, known, roots, tested)))
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
-            named = named.join(ends, "class", "left")
+            percent = self.percent
+
+            def count(blocks: pa.Table) -> pa.Table:
+                names, (a, b) = _linked(blocks, percent)
+                ends = np.bincount(np.concatenate([a, b]), minlength=len(names))
+                return pa.table({"class": pa.array(names, pa.int64()), "links": pa.array(ends, pa.int64())})
+
+            ends = self._blocks(roots).groupBy("root", "i", "j").applyInArrow(count, "class long, links long")
+            named = named.join(ends.groupBy("class").agg(F.sum("links").alias("links")), "class", "left")
             out += ["class", F.when(F.col("class").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("links")]
         return rows.join(named, "class", "left").select(*out)
 
     def links(self) -> DataFrame:
         """a, b: every pair of different classes that link, once, with a < b."""
-        _, known, posts, roots, found, tested = self._joined()
-        return found.union(self._verified(self._inside(posts, known, roots, tested)))
+        percent = self.percent
+
+        def pairs(blocks: pa.Table) -> pa.Table:
+            names, (a, b) = _linked(blocks, percent)
+            return pa.table({"a": pa.array(np.minimum(names[a], names[b]), pa.int64()), "b": pa.array(np.maximum(names[a], names[b]), pa.int64())})
+
+        return self._blocks(self._joined()[1]).groupBy("root", "i", "j").applyInArrow(pairs, "a long, b long")
 
-    def _joined(self) -> tuple[DataFrame, ...]:
-        """Rows with their class, what is known of classes, their prefix elements, components, and the links that
-        were found and pairs that were compared on the way to the components."""
+    def _joined(self) -> tuple[DataFrame, DataFrame]:
+        """Rows with their class, and (node, root) of the classes that link with any."""
         rows = _sets(self.docs, self.k, self.percent, frequencies(self.docs, self.k))
         met = rows.filter("size(prefix) > 0")
         posts = met.select("class", "n", F.posexplode("prefix").alias("at", "key"), "skipped").select(
@@ -369,8 +414,7 @@ class Join:
         turned = F.expr("a.class < b.class")
         met = met.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("b"))
         last = saved(self._filtered(met, known).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        links, tested = links.union(saved(self._verified(last))), tested.select("a", "b").union(last.select("a", "b"))
-        return rows, known, posts, saved(components(links)), links, tested
+        return rows, saved(components(links.union(saved(self._verified(last)))))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
