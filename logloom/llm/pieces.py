@@ -135,7 +135,7 @@ class PieceEncoder:
 def _coded(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct pieces, the piece at each place, first place of each text and the end)."""
     coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
 
 
 def as_ids(data: bytes) -> np.ndarray:

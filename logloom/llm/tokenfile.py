@@ -33,6 +33,8 @@ SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (1
 COUNTS = np.array([c for c, _ in SELECTORS], np.int64)
 #: The first value too large for widths 0, 1, 2 ... 30 bits: selectors 0 and 1 share width 0.
 WIDTHS = np.array([1 << bits for _, bits in SELECTORS[1:-1]], np.uint64)
+#: The same search looked up for ids below 2**16.
+NARROW = np.searchsorted(WIDTHS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 RUN = 1 << 15
 MAGIC = 0x4B38425349  # the five bytes "ISB8K"
 
@@ -53,7 +55,7 @@ def _pack_run(ids: np.ndarray) -> np.ndarray:
     if n and int(ids.max()) >> 60:
         raise ValueError("ids must be below 2**60")
     # the least width that holds each id, and the maxima of it over ever longer windows
-    widest = np.searchsorted(WIDTHS, ids, side="right").astype(np.uint8)
+    widest = NARROW[ids] if n and int(ids.max()) < len(NARROW) else np.searchsorted(WIDTHS, ids, side="right").astype(np.uint8)
     choice, window, narrow, high = np.full(n, 15, np.uint8), 1, widest, widest.max(initial=0)
     for s in range(14, -1, -1):
         count = SELECTORS[s][0]
@@ -65,13 +67,8 @@ def _pack_run(ids: np.ndarray) -> np.ndarray:
         fits = narrow <= max(s - 1, 0)
         if not fits.any():
             break
-        choice[fits] = s
-    counts = COUNTS[choice]
-    following, starts, i = (np.arange(n) + counts).tolist(), [], 0
-    while i < n:
-        starts.append(i)
-        i = following[i]
-    starts = np.array(starts, np.int64)
+        np.putmask(choice, fits, np.uint8(s))
+    starts = _starts(np.append(np.minimum(np.arange(n) + COUNTS[choice], n), n))
     picked = choice[starts]
     out = picked.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(240, np.uint64)])
@@ -87,6 +84,21 @@ def _pack_run(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _starts(following: np.ndarray) -> np.ndarray:
+    """The places that are reached from 0 before the last one: every 16th by steps, those between all at once."""
+    n, far, i, some = len(following) - 1, following, 0, []
+    for _ in range(4):
+        far = far[far]
+    while i < n:
+        some.append(i)
+        i = int(far[i])
+    at = np.empty((len(some), 16), np.int64)
+    at[:, 0] = some
+    for k in range(1, 16):
+        at[:, k] = following[at[:, k - 1]]
+    return at[at < n]
+
+
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """The ids again; the ids that a run's last word pads are cut off."""
     selector = (words >> np.uint64(60)).astype(np.int64)

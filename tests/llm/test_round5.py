@@ -42,3 +42,20 @@ def test_linked_counts_long_sets_exactly(monkeypatch):
         want = {(x, y) for x in range(30) for y in range(x) if (b[x] != b[y]) or b.min() == b.max()}
         want = {(y, x) for x, y in want if 100 * len(np.intersect1d(sets[x], sets[y])) >= 60 * len(np.union1d(sets[x], sets[y]))}
         assert got == want and want and len(ends[0]) == len(want) and names.tolist() == [7 * i for i in range(30)]
+
+
+def test_words_are_chosen_as_by_single_steps():
+    from logloom.llm import tokenfile
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 15, 16, 17, 240, 241, 5000):
+        ids = (rng.integers(0, 2, n) * rng.integers(0, 1 << 20, n)).astype(np.uint64)
+        following = np.minimum(np.arange(n) + rng.integers(1, 241, n), n)
+        want, i = [], 0
+        while i < n:
+            want.append(i)
+            i = following[i]
+        assert tokenfile._starts(np.append(following, n)).tolist() == want
+        assert (tokenfile.unpack(*tokenfile.pack(ids), n) == ids).all()
+    assert not len(tokenfile._starts(np.zeros(1, np.int64)))
+    edge = np.array([0, 1, 2, 65535, 65536, (1 << 60) - 1], np.uint64)
+    assert (tokenfile.unpack(*tokenfile.pack(edge), 6) == edge).all() and (tokenfile.unpack(*tokenfile.pack(edge[:4]), 4) == edge[:4]).all()
