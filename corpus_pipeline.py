@@ -23,8 +23,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3
 
 
+def prepare_session(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of about 4 MB, since 10,000 rows may be any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told, and calls it their language."""
+    prepare_session(spark)
     docs = docs.select(*COLUMNS)
     told = langid.identify(docs, langid.fit(docs.select("doc_id", "text", "lang"))).filter(
         (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
@@ -34,6 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each group linked by five-word shingles at a similarity of 0.8 or
     more; documents without words are all kept, a row without an id too unless it is linked to another."""
+    prepare_session(spark)
     docs = docs.select(*COLUMNS)
     told = ngram_join.Join(docs, k=5, percent=80).run()
     stay = saved(told.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
@@ -56,6 +63,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids of each text."""
+    prepare_session(spark)
     return bpe.encode(docs.select(*COLUMNS)).withColumn("n_tokens", F.size("ids").cast("long"))
 
 

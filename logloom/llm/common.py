@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -36,6 +39,21 @@ def saved(df: DataFrame, compression: str = "lz4") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Frees what a reused worker still holds of another operator's tasks: vocabularies, remembered words and pieces, unused memory.
+    Only the memory changes; who needs them again loads them again."""
+    caches = [f for name in ("bpe", "packing", "tokenfile") for f in vars(sys.modules.get(f"{__package__}.{name}", object)).values()
+              if hasattr(f, "cache_clear")]
+    if any(f.cache_info().currsize for f in caches):
+        for f in caches:
+            f.cache_clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc keeps freed blocks otherwise
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bounds) of a string or binary Arrow array without copying the text; null is empty."""
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, text_bytes
+from .common import chunks, release, table, text_bytes
 
-DIM, ORDERS, TRAIN_ROWS, CHUNK = 1 << 16, (1, 2, 3, 4), 6_000, 2_000_000
+DIM, ORDERS, TRAIN_ROWS, CHUNK = 1 << 16, (1, 2, 3, 4), 6_000, 250_000
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 1e-4, 1e-6, 3, 30.0
 OUTPUTS = ("lang_pred", "score")
 
@@ -55,6 +55,7 @@ def _frequencies(docs: DataFrame) -> np.ndarray:
     """Texts that have each feature. A task sends DIM counts, whatever its rows."""
 
     def run(batches):
+        release()
         total, n = np.zeros(DIM, np.int64), 0
         for batch in batches:
             data, bounds = text_bytes(batch.column("text"))
@@ -73,13 +74,19 @@ def _frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _vector(text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(features, how often each), as narrow as they may be: thousands of texts are held at once."""
     data = np.frombuffer(text, np.uint8)
     columns = [c for _, _, c in features(data, np.array([0, len(data)]))]
     if not columns:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.uint16), np.zeros(0, np.uint32)
     found, counts = np.unique(np.concatenate(columns), return_counts=True)
-    return found, counts * idf[found] * (SCALE / counts.sum())
+    return found.astype(np.uint16), counts.astype(np.uint32)
+
+
+def _vector(row: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, counts = row[0].astype(np.int64), row[1].astype(np.int64)
+    return found, counts * idf[found] * (SCALE / counts.sum() if len(counts) else 0.0)
 
 
 class Model:
@@ -107,7 +114,7 @@ def train(texts: list[bytes], labels: list[str], frequencies: np.ndarray) -> Mod
     langs = sorted(set(labels))
     idf = np.log((1 + frequencies[-1]) / (1 + frequencies[:-1])) + 1
     k, y = len(langs), np.searchsorted(langs, labels)
-    rows = [_vector(t, idf) for t in texts]
+    rows = [_counted(t) for t in texts]
     held = np.arange(len(rows)) % 8 == 7 if len(rows) >= 16 else np.zeros(len(rows), bool)
     z, n = np.zeros((DIM + 1, k)), np.zeros((DIM + 1, k))  # the last row is the bias
 
@@ -117,7 +124,8 @@ def train(texts: list[bytes], labels: list[str], frequencies: np.ndarray) -> Mod
 
     for _ in range(EPOCHS):
         for i in np.flatnonzero(~held):
-            at, x = np.append(rows[i][0], DIM), np.append(rows[i][1], 1.0)
+            at, x = _vector(rows[i], idf)
+            at, x = np.append(at, DIM), np.append(x, 1.0)
             w = weights(z[at], n[at])
             s = x @ w
             p = np.exp(s - s.max())
@@ -129,7 +137,8 @@ def train(texts: list[bytes], labels: list[str], frequencies: np.ndarray) -> Mod
             n[at] += g * g
     w = weights(z, n)
     fit = np.flatnonzero(held) if held.any() else np.arange(len(rows))
-    scores = np.array([rows[i][1] @ w[rows[i][0]] + w[DIM] for i in fit])
+    vectors = (_vector(rows[i], idf) for i in fit)
+    scores = np.array([x @ w[at] + w[DIM] for at, x in vectors])
 
     def loss(t):
         s = scores / t
@@ -152,6 +161,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     frequencies = _frequencies(usable)
 
     def run(batches):
+        release()
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
@@ -175,6 +185,7 @@ def identify(df: DataFrame, model: Model | None) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)  # DIM weights for each language
 
     def run(batches):
+        release()
         m = shared.value
         for batch in batches:
             column = batch.column("text")
@@ -182,11 +193,11 @@ def identify(df: DataFrame, model: Model | None) -> DataFrame:
             langs, scores = ["und"] * n, np.zeros(n)
             if m is not None and n:
                 data, bounds = text_bytes(column)
-                texts = column.to_pylist()
                 for i, j in chunks(bounds, CHUNK):
+                    texts = column.slice(i, j - i).to_pylist()
                     p = m.probabilities(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])
                     for r, (lang, score) in enumerate(zip(p.argmax(axis=1), p.max(axis=1), strict=True), i):
-                        if texts[r] and has_letter(texts[r]):
+                        if texts[r - i] and has_letter(texts[r - i]):
                             langs[r], scores[r] = m.langs[lang], score
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores)],
                                              [*names, *OUTPUTS])

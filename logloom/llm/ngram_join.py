@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, saved, table, text_bytes
+from .common import chunks, release, saved, table, text_bytes
 from .components import components
 
 CELL_BITS, KEY_BITS, SEEN_BITS, PARTS, FILTER_BITS, CHUNK, SKETCH = 18, 36, 27, 32, 24, 1 << 20, 1024
@@ -136,15 +136,20 @@ def frequencies(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     width = np.uint64(KEY_BITS - range_bits)
 
     def keys(batches):
+        release()
         held, size = [], 0
 
         def send():
-            x = np.sort(np.concatenate(held)) >> np.uint64(64 - KEY_BITS)
-            cut = np.searchsorted(x >> width, np.arange((1 << range_bits) + 1).astype(np.uint64))
+            x = np.concatenate(held)
+            held.clear()
+            x.sort()
+            x >>= np.uint64(64 - KEY_BITS)
+            cut = np.searchsorted(x, np.arange((1 << range_bits) + 1).astype(np.uint64) << width)
             some = np.flatnonzero(np.diff(cut))
-            inside = x & np.uint64((1 << int(width)) - 1)
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_coded(inside[cut[r]:cut[r + 1]].astype(
-                np.int64)) for r in some], pa.binary())], ["range", "keys"])
+            x &= np.uint64((1 << int(width)) - 1)
+            inside = x.view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(
+                [_coded(inside[cut[r]:cut[r + 1]]) for r in some], pa.binary())], ["range", "keys"])
 
         for batch in batches:
             for _, x in _each(batch, k):
@@ -193,6 +198,7 @@ def _sets(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.nda
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
+        release()
         seen = set()
         for batch in batches:
             rows, sizes, names, firsts, prefixes, parts, sketches = [], [], [], [], [], [], []
@@ -237,6 +243,7 @@ def _elements(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table_)
 
     def run(batches):
+        release()
         seen, mask = set(), (1 << FILTER_BITS) - 1
         for batch in batches:
             names, sets = [], []

@@ -59,3 +59,21 @@ def test_words_are_chosen_as_by_single_steps():
     assert not len(tokenfile._starts(np.zeros(1, np.int64)))
     edge = np.array([0, 1, 2, 65535, 65536, (1 << 60) - 1], np.uint64)
     assert (tokenfile.unpack(*tokenfile.pack(edge), 6) == edge).all() and (tokenfile.unpack(*tokenfile.pack(edge[:4]), 4) == edge[:4]).all()
+
+
+def test_a_reused_worker_keeps_no_vocabulary_of_other_operators():
+    from logloom.llm import bpe, common, tokenfile
+    path = bpe.default_tokenizer()
+    want = [bpe._encoder(path).encode(["some words, again"]), tokenfile._encoder(path).encode(["some words, again"])]
+    common.release()
+    assert not any(f.cache_info().currsize for f in (bpe._encoder, bpe._vocabulary, bpe.token_bytes, tokenfile._encoder))
+    assert want == [bpe._encoder(path).encode(["some words, again"]), tokenfile._encoder(path).encode(["some words, again"])]
+
+
+def test_training_holds_narrow_rows():
+    from logloom.llm import langid
+    found, counts = langid._counted(b"abcabc abc")
+    assert found.itemsize + counts.itemsize <= 6 and counts.sum() == 10 + 9 + 8 + 7
+    at, x = langid._vector((found, counts), np.ones(langid.DIM))
+    assert at.dtype == np.int64 and np.isclose(x.sum(), langid.SCALE)
+    assert [len(v) for v in langid._vector(langid._counted(b""), np.ones(langid.DIM))] == [0, 0]
