@@ -246,7 +246,8 @@ def json_object(v: str) -> str:
 _JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|[{}\[\]:,]|[^\s{}\[\]:,"]++'
 #: What VARIANT would spell anew: fractions, exponents, and integers that a BIGINT may not hold.
 #: Also arrays with objects or escapes in them: VARIANT sorts keys.
-_OTHER_SPELLING = r"[:\[,]\s*-?\d+(?:[.eE]|\d{17})|\[[\s\S]*[{\\]"
+#: An array without any, nor arrays in it, is passed over, whatever follows it.
+_OTHER_SPELLING = r'[:\[,]\s*-?\d+(?:[.eE]|\d{17})|\[(?!(?:[^\[\]{}"\\]|"[^"\\]*+")*+\])[\s\S]*[{\\]'
 
 
 def json_walk(jtext: str) -> str:
@@ -298,7 +299,7 @@ def json_walk(jtext: str) -> str:
 def json_entries(v: str, jtext: str, depth: int = JSON_DEPTH) -> str:
     """Dotted entries; a flat key that holds dots beats the nested path (it comes last).
 
-    Most documents are flat enough for expressions over VARIANT; those with more braces than ``depth``, with repeated
+    Most documents are flat enough for expressions over VARIANT; those with more objects than ``depth``, with repeated
     keys, or with numbers or arrays that VARIANT would spell anew are walked token by token. Both ways give the same
     entries where both apply.
     """
@@ -329,7 +330,8 @@ def json_entries(v: str, jtext: str, depth: int = JSON_DEPTH) -> str:
         f" element_at(transform(array({flat}), f -> CASE WHEN exists(f, e -> contains(e.key, '.'))"
         f" THEN {ordered} ELSE f END), 1) END), 1)"
     )
-    braces = f"length({jtext}) - length(replace({jtext}, '{{', '')) > {depth}"
+    objects = f"replace({jtext}, '{{}}', '')"  # an empty object is a value at any depth
+    braces = f"length({objects}) - length(replace({objects}, '{{', '')) > {depth}"
     return (f"CASE WHEN {jtext} IS NULL THEN NULL WHEN {v} IS NULL OR {braces} OR {jtext} RLIKE {q(_OTHER_SPELLING)}"
             f" THEN {json_walk(jtext)} ELSE {variant_route} END")
 

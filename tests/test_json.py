@@ -80,3 +80,19 @@ def test_fingerprints_see_every_depth_and_repeated_keys(spark, key, value, hits)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(GOOD[:15])], "n INT, text STRING")
     got = sorted(r["n"] for r in df.filter(fp.fp_json_key(key, value)).select("n").collect())
     assert got == hits
+
+
+def test_plain_arrays_and_empty_objects_are_not_walked(spark):
+    """Both ways give the same entries; a text that needs no walk takes none, whatever follows its arrays."""
+    import re
+    plain = ['{"l":[1,2],"o":{}}', '{"l":["a{b","]"],"o":{"x":1}}', '{"l":[],"m":[true,null],"s":"\\\\n{"}', '{"t":"[x] {y}","o":{"p":{}}}']
+    odd = ['{"l":[[1],{"b":1,"a":2}]}', '{"l":[1,"\\u00e9"]}', '{"l":["]",{"z":1,"a":2}]}', '{"l":[1,[2,{"z":1}]]}', '{"x":"[","l":["]",[{"b":1,"a":2}]]}',
+           '{"l":[1,2],"m":[{"b":1,"a":2}]}', '{"l":["a]","b\\"c]",{"z":1,"a":0}]}']
+    # Python and Java read this pattern alike
+    assert [bool(re.search(tk._OTHER_SPELLING, t)) for t in plain + odd] == [False] * len(plain) + [True] * len(odd)
+    nested = '{"p":{"q":{"r":{"s":7}}},"a":{"b":"n"},"l":[1,2],"o":{},"e":{"f":{}}}'  # more braces than JSON_DEPTH, fewer objects with members
+    texts = plain + odd + [nested]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, payload string")
+    got = {r["i"]: r["tokens"] for r in tk.tokenize_json(df).collect()}
+    staged = df.selectExpr("i", f"{tk.json_walk('payload')} AS w").selectExpr("i", f"{last_wins_map('w')} AS tokens")
+    assert got == {r["i"]: r["tokens"] for r in staged.collect()} and all(got.values())
