@@ -330,7 +330,8 @@ class Index:
 
         # a query row that repeats is asked once
         asked = queries.filter(F.size("v") == self.dim).select("id", "v").distinct().mapInArrow(plan, "leaf int, id long, v array<double>")
-        pairs = _by_leaf(asked, QUERY_BLOCK, "q").join(self.blocks.drop("dim"), "leaf")
+        # Spark takes the queries, dealt to all leaves they visit, for as small as they were before, and would broadcast them
+        pairs = _by_leaf(asked, QUERY_BLOCK, "q").join(self.blocks.drop("dim").hint("merge"), "leaf")
         return _ranked(_nearest(pairs, k), k).select("query_id", "rank", "vec_id", "score")
 
 
