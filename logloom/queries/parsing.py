@@ -121,13 +121,14 @@ def src_batch_json(spark, sf):
 @query("src_deframe", BASE + "SELECT user_id, CAST(count(*) AS BIGINT) AS messages, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM ("
        "SELECT user_id, '###UNKNOWN### code=' || user_id || ' x~~y' AS line FROM d) GROUP BY user_id")
 def src_deframe(spark, sf):
-    """Captured streams: octet-counted and newline frames mixed in one blob."""
+    """Captured streams, a whole one for each user in the order of its events: octet-counted and newline frames mixed in
+    one blob, which ends without the last line's break."""
     msgs = fx.base(spark, sf).selectExpr(
-        "user_id", "k", "concat('###UNKNOWN### code=', user_id, ' x~~y') AS line")
-    framed = msgs.selectExpr("user_id", "CASE WHEN k % 2 = 0 THEN concat(octet_length(line), ' ', line)"
-                                        " ELSE concat(line, '\r\n') END AS piece")
-    blobs = framed.groupBy("user_id", F.spark_partition_id().alias("part")).agg(
-        F.concat_ws("", F.collect_list("piece")).cast("binary").alias("content"))
+        "user_id", "eid", "k", "concat('###UNKNOWN### code=', user_id, ' x~~y') AS line")
+    framed = msgs.selectExpr("user_id", "eid", "CASE WHEN k % 2 = 0 THEN concat(octet_length(line), ' ', line)"
+                                               " ELSE concat(line, '\r\n') END AS piece")
+    blobs = framed.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("eid", "piece"))).alias("pieces")).select(
+        "user_id", F.expr("CAST(rtrim('\r\n', concat_ws('', pieces.piece)) AS BINARY)").alias("content"))
     out = ingest.deframe_syslog(blobs, "content", ("user_id",))
     return out.groupBy("user_id").agg(F.count("*").alias("messages"),
                                       F.sum(F.octet_length("raw")).cast("bigint").alias("bytes"))
