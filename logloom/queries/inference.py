@@ -265,10 +265,23 @@ def heal_score(spark, sf):
                                     "regression_passed", "mapped_fields")
 
 
-@query("heal_best_candidate", "WITH a AS (SELECT 'c' || (event_id // 12 % 4) AS cluster_id FROM events WHERE event_id % 12 = 10) SELECT DISTINCT cluster_id, cluster_id || CASE cluster_id WHEN 'c3' THEN ':variant' ELSE ':inferred' END AS candidate FROM a")
+def user_scores(spark, sf) -> DataFrame:
+    """Scores counted from the whole table: a candidate for each type of event that a user has."""
+    return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", "event_type").agg(
+        F.count("*").alias("n"), F.min("event_id").alias("position")).selectExpr(
+        "user_id", "event_type AS candidate", "event_type <> 'signup' AS valid_config", "n % 2 = 0 AS regression_passed",
+        "round(n % 10 / 10, 3) AS match_rate", "n % 4 AS mapped_fields", "position")
+
+
+@query("heal_best_candidate", "WITH a AS (SELECT 'c' || (event_id // 12 % 4) AS cluster_id FROM events WHERE event_id % 12 = 10), "
+       "s AS (SELECT user_id, event_type AS candidate, count(*) AS n, min(event_id) AS position FROM events GROUP BY 1, 2) "
+       "SELECT CAST(NULL AS VARCHAR) AS cluster_id, user_id, candidate FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY candidate <> 'signup' DESC, n % 2 = 0 DESC, n % 10 DESC, n % 4 DESC, position) AS rn FROM s) WHERE rn = 1 "
+       "UNION ALL (SELECT DISTINCT cluster_id, CAST(NULL AS BIGINT), cluster_id || CASE cluster_id WHEN 'c3' THEN ':variant' ELSE ':inferred' END FROM a)")
 def heal_best_candidate(spark, sf):
-    """What the scores choose: the drift variant comes before an equal inferred definition."""
-    return heal.best_candidate(scores(spark, sf)).select("cluster_id", "candidate")
+    """What the scores choose: of every user's candidates, and of every drift sub-family's, where the drift variant comes
+    before an equal inferred definition."""
+    users = heal.best_candidate(user_scores(spark, sf), "user_id").select(F.lit(None).cast("string").alias("cluster_id"), "user_id", "candidate")
+    return users.unionByName(heal.best_candidate(scores(spark, sf)).select("cluster_id", F.lit(None).cast("long").alias("user_id"), "candidate"))
 
 
 @query("heal_promotable", _ALL + " SELECT cluster_id, candidate, CASE WHEN cluster_id = 'c0' THEN 'proposal is superseded, not open' WHEN NOT valid_config THEN 'invalid parser config' "
