@@ -7,6 +7,7 @@ import gc
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,22 @@ def saved(df: DataFrame, compression: str = "lz4") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed(spark: SparkSession):
+    """What is written, or made and collected, inside gives its shuffle files back when it ends; else they stay until the
+    driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def release() -> None:
     """Frees what a reused worker still holds of another operator's tasks: vocabularies, remembered words and pieces, unused memory.
     Only the memory changes; who needs them again loads them again."""

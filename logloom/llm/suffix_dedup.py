@@ -9,9 +9,9 @@ A suffix is not shipped alone. Its key is the least hash of the ANCHOR-byte stri
 equal suffixes have equal keys, and neighbours in a text mostly share one, so runs of suffixes with one key
 travel as one segment of text. Equal suffixes never fall into two buckets, so no comparison crosses a border.
 Before that, anchors are counted with the bytes beside them: only segments with an anchor that repeats
-together with its left or its right side travel (a bitmap of fixed size says which, with some false
+together with its left or its right side travel (a bitmap of bounded size says which, with some false
 positives and no misses). Of equal segments a task sends the one of
-the least doc_id; the others are decided there. Keys with very many segments, as at the edges of a passage
+the least doc_id; the others are decided there. Shuffle files go as soon as their stage has been used. Keys with very many segments, as at the edges of a passage
 that a large part of the documents share, are dealt suffix by suffix over all tasks.
 
 Defined cases: a null or empty text has no bytes; repeats within a document don't count, nor between rows of
@@ -27,12 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, saved, table, text_bytes
+from .common import chunks, freed, saved, table, text_bytes
 
-WIDTH, ANCHOR, SIDE, CHUNK, KEY_BITS, FILTER_BITS = 50, 24, 13, 1 << 18, 36, 27
+WIDTH, ANCHOR, SIDE, CHUNK, KEY_BITS = 50, 24, 13, 1 << 18, 36
+#: The bitmap has 8 bits for each hash that repeats, between 2 to the power of these (16 and 64 MB).
+FILTER_BITS, FILTER_MOST = 27, 29
+#: Buckets of a shuffle partition, as long as there are no more than MOST_BUCKETS; with more the packs, one for each
+#: bucket and flush, would hold a few segments only and hardly compress.
+BUCKETS, MOST_BUCKETS, LEAST_BUCKETS, LEVEL = 16, 2048, 2, 6
 #: Segments of one key (about 3 MB of text at this number, as much as a task can hold of one key) above which
-#: its suffixes are dealt one by one; segments held before a task sends them.
-HOT, HELD = 50_000, 60_000
+#: its suffixes are dealt one by one; segments held before a task sends them; segments of a bucket solved at a time.
+HOT, HELD, SOLVED = 50_000, 400_000, 60_000
 NULL_ID = -(1 << 63)
 
 _RANDOM = np.random.default_rng(50_024)
@@ -119,10 +124,13 @@ def _content(blob: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each piece's bytes."""
     if not len(sizes):
         return np.zeros(0, np.uint64)
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(blob)) - np.repeat(starts, sizes)
+    bounds, out = np.concatenate([[0], np.cumsum(sizes)]), np.empty(len(sizes), np.uint64)
     powers = np.cumprod(np.full(int(sizes.max()) + 1, np.uint64(0x9E3779B97F4A7C15)))
-    return _mix(np.add.reduceat(_BYTE[blob] * powers[place], starts) + sizes.astype(np.uint64))
+    for i, j in chunks(bounds, CHUNK):
+        starts = bounds[i:j] - bounds[i]
+        place = np.arange(bounds[j] - bounds[i]) - np.repeat(starts, sizes[i:j])
+        out[i:j] = np.add.reduceat(_BYTE[blob[bounds[i]:bounds[j]]] * powers[place], starts)
+    return _mix(out + sizes.astype(np.uint64))
 
 
 def _coded(keys: np.ndarray) -> bytes:
@@ -142,7 +150,7 @@ def _decoded(data: bytes) -> np.ndarray:
 def repeated_keys(docs: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bitmap of the side hashes that occur more than once, keys of more than HOT segments, splitters of the
     keys), keys by their first KEY_BITS bits. Hashes move as sorted lists, a range of values at a time; each
-    range owns a part of the bitmap, so what comes back has a fixed size and a key is hot only with HOT
+    range owns a part of the bitmap, so what comes back has a bounded size and a key is hot only with HOT
     segments or more."""
     range_bits = max(4, (4 * partitions - 1).bit_length())
     width = KEY_BITS - range_bits
@@ -179,22 +187,29 @@ def repeated_keys(docs: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndar
                 held.setdefault(r, ([], []))[kind].append(_decoded(k.as_py()))
         for r, (sides, parts) in held.items():
             x = np.sort(np.concatenate([np.zeros(0, np.int64), *sides]))
-            bits = np.zeros(1 << max(0, FILTER_BITS - range_bits), bool)
-            bits[x[1:][x[1:] == x[:-1]] >> (KEY_BITS - FILTER_BITS)] = True
+            twice = np.unique(x[1:][x[1:] == x[:-1]])
+            own = max(3, min(FILTER_MOST, max(FILTER_BITS, ((8 * len(twice) << range_bits) - 1).bit_length())) - range_bits)
+            bits = np.zeros(1 << own, bool)
+            bits[twice >> (width - own)] = True
             k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
             k += r << width
             yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "bits": [np.packbits(bits).tobytes()],
                                               "hot": [k[n > HOT].tobytes()], "sample": [k[len(k) // 64::max(1, len(k) // 32)].tobytes()]})
 
-    found = (docs.select("text").mapInArrow(keys, "range int, kind int, keys binary").repartition("range")
-             .mapInArrow(count, "range int, bits binary, hot binary, sample binary").collect())
-    bitmap = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    part = len(bitmap) >> range_bits
+    with freed(docs.sparkSession):
+        found = (docs.select("text").mapInArrow(keys, "range int, kind int, keys binary").repartition("range")
+                 .mapInArrow(count, "range int, bits binary, hot binary, sample binary").collect())
+    part = max((len(row["bits"]) for row in found), default=1)  # of every range; ranges with fewer bits have each of them several times
+    bitmap = np.zeros(part << range_bits, np.uint8)
     for row in found:
-        bitmap[row["range"] * part:(row["range"] + 1) * part] = np.frombuffer(row["bits"], np.uint8)
+        bits = np.frombuffer(row["bits"], np.uint8)
+        if len(bits) < part:
+            bits = np.packbits(np.repeat(np.unpackbits(bits), part // len(bits)))
+        bitmap[row["range"] * part:(row["range"] + 1) * part] = bits
     join = lambda c: np.sort(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[c], np.int64) for r in found)]))
     sample = join("sample")
-    return bitmap, join("hot"), sample[np.linspace(0, len(sample) - 1, 16 * partitions).astype(int)] if len(sample) else sample
+    buckets = max(min(BUCKETS * partitions, MOST_BUCKETS), LEAST_BUCKETS * partitions)
+    return bitmap, join("hot"), sample[np.linspace(0, len(sample) - 1, buckets).astype(int)] if len(sample) else sample
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,13 +224,23 @@ _ARROW = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), ("doc", pa.in
     "stop", pa.int32())])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, first all lowest bytes: what is equal in most numbers stands together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
 def _packed(key, doc, crc, start, size, blob) -> bytes:
-    """Segments as one compressed row: their documents once, then a column after the other."""
-    both, of = np.unique(np.stack([doc, crc]), axis=1, return_inverse=True)
-    head = np.array([len(key), both.shape[1], len(blob)], np.int64)
-    parts = (head, both[0], both[1], key, of.ravel().astype(np.int32), start.astype(np.int32), size.astype(np.int32), blob)
-    raw = b"".join(x.tobytes() for x in parts)
-    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    """Segments as one compressed row, by document: their documents once, then a column after the other. Of a key 32
+    bits travel: keys only bring together what may be equal, texts decide."""
+    order = np.lexsort((start, crc, doc))
+    blob = _pieces(blob, (np.cumsum(size) - size)[order], size[order])
+    key, doc, crc, start, size = (x[order] for x in (key, doc, crc, start, size))
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])]))
+    head = np.array([len(key), len(new), len(blob)], np.int64)
+    raw = b"".join((head.tobytes(), _planes(np.diff(doc[new], prepend=np.int64(0))), _planes(crc[new]), _planes(np.diff(
+        np.append(new, len(key))).astype(np.int32)), _planes(key.astype(np.uint32)), _planes(start.astype(np.int32)), _planes(
+        (size - WIDTH).astype(np.int32)), blob.tobytes()))
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
@@ -223,23 +248,26 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
     raw, at = pa.decompress(data[8:], size, codec="zstd", asbytes=True), 24
     n, docs, width = np.frombuffer(raw, np.int64, 3).tolist()
     out = []
-    for kind, count in ((np.int64, docs), (np.int64, docs), (np.uint64, n), (np.int32, n), (np.int32, n), (np.int32, n), (np.uint8, width)):
-        out.append(np.frombuffer(raw, kind, count, at))
-        at += out[-1].nbytes
-    doc, crc, key, of, start, length, blob = out
-    return [key, doc[of], crc[of], start.astype(np.int64), length.astype(np.int64), blob]
+    for kind, count in ((np.int64, docs), (np.int64, docs), (np.int32, docs), (np.uint32, n), (np.int32, n), (np.int32, n)):
+        each = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, each * count, at).reshape(each, count)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += planes.size
+    doc, crc, count, key, start, length = out
+    return [key, np.repeat(np.cumsum(doc), count), np.repeat(crc, count), start.astype(np.int64), length.astype(np.int64) + WIDTH,
+            np.frombuffer(raw, np.uint8, width, at)]
 
 
-def _sent(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, splitters: np.ndarray) -> DataFrame:
-    """Segments with repeated keys, packed by bucket, and intervals that a task could decide alone."""
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap, hot, splitters))
+def _sent(docs: DataFrame, shared) -> DataFrame:
+    """Segments with repeated keys, packed by bucket, and intervals that a task could decide alone. ``shared``: the
+    broadcast result of ``repeated_keys``."""
 
     def batch_of(columns: dict, n: int):
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW],
                                           schema=_ARROW)
 
     def flush(held):
-        bitmap_, hot_, splitters_ = shared.value
+        _, hot_, splitters_ = shared.value
         key, doc, crc, start, size, blob = (np.concatenate(x) for x in zip(*held, strict=True))
         same = _content(blob, size)
         # of equal segments those of the least document stay
@@ -268,15 +296,16 @@ def _sent(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, splitters: np.nd
                     key[at], doc[at], crc[at], start[at], size[at], _pieces(blob, offset[at], size[at]))]}, 1)
 
     def run(batches):
-        bitmap_, held, count = shared.value[0], [], 0
+        bitmap, held, count = shared.value[0], [], 0
+        bits = (8 * len(bitmap)).bit_length() - 1
         for batch in batches:
             data, bounds = text_bytes(batch.column("text"))
             ids, crcs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "crc"))
             for i, j in chunks(bounds, CHUNK):
                 part = data[bounds[i]:bounds[j]]
                 doc, start, n, key, of, sides = segments(part, bounds[i:j + 1] - bounds[i])
-                bit = (sides >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                seen = (bitmap_[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 & (sides > 0)
+                bit = (sides >> np.uint64(64 - bits)).astype(np.int64)
+                seen = (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 & (sides > 0)
                 some = np.unique(of[seen.any(axis=1)])
                 if not len(some):
                     continue
@@ -354,6 +383,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """doc, crc, start, stop: intervals of bytes to remove, possibly overlapping. ``docs``: doc, crc, text."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bitmap, hot, splitters = repeated_keys(docs, partitions)
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap, hot, splitters))
     kinds = ["doc", "crc", "start", "stop", "string"]
 
     def solve(batches):
@@ -365,9 +395,13 @@ def removals(docs: DataFrame) -> DataFrame:
                 stop, pa.int32()), pa.nulls(len(doc), pa.binary()) if string is None else pa.array(string, pa.binary())], kinds)
 
         def done():
-            parts = [np.concatenate(x) for x in zip(*map(_unpacked, held), strict=True)]
-            at, lo, hi = _bucket(*parts)
-            return out(parts[1][at], parts[2][at], lo.astype(np.int32), hi.astype(np.int32))
+            key, doc, crc, start, size, blob = (np.concatenate(x) for x in zip(*map(_unpacked, held), strict=True))
+            offset, order = np.cumsum(size) - size, np.argsort(key, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(key[order])) + 1, len(key))  # a key's segments stay together
+            cuts = np.unique(cuts[np.searchsorted(cuts, np.arange(SOLVED, len(key) + SOLVED, SOLVED).clip(max=len(key)))])
+            for part in np.split(order, cuts[:-1]):
+                at, lo, hi = _bucket(key[part], doc[part], crc[part], start[part], size[part], _pieces(blob, offset[part], size[part]))
+                yield out(doc[part][at], crc[part][at], lo.astype(np.int32), hi.astype(np.int32))
 
         for batch in batches:
             plain = batch.filter(batch.column("pack").is_null())
@@ -386,15 +420,17 @@ def removals(docs: DataFrame) -> DataFrame:
                     yield out(doc[of], crc[of], first, first + WIDTH, [text[a:a + WIDTH] for a in at.tolist()])
                     continue
                 if held and b != bucket:
-                    yield done()
+                    yield from done()
                     held = []
                 bucket = b
                 held.append(pack.as_py())
         if held:
-            yield done()
+            yield from done()
 
-    dealt = _sent(docs, bitmap, hot, splitters).repartition("bucket").sortWithinPartitions("bucket")
-    found = saved(dealt.select("bucket", "pack", "doc", "crc", "start", "stop").mapInArrow(solve, f"{_DECIDED}, string binary"))
+    dealt = _sent(docs, shared).repartition("bucket").sortWithinPartitions("bucket")
+    with freed(docs.sparkSession):
+        found = saved(dealt.select("bucket", "pack", "doc", "crc", "start", "stop").mapInArrow(solve, f"{_DECIDED}, string binary"), "zstd")
+    shared.destroy()
     out = found.filter("string is null").select("doc", "crc", "start", "stop")
     if len(hot):
         single = found.filter("string is not null")
