@@ -268,7 +268,8 @@ def _sent(docs: DataFrame, shared) -> DataFrame:
 
     def flush(held):
         _, hot_, splitters_ = shared.value
-        key, doc, crc, start, size, blob = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, doc, crc, start, size, blob = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()  # not twice in memory
         same = _content(blob, size)
         # of equal segments those of the least document stay
         order = np.lexsort((start, doc, same, key))
@@ -314,7 +315,7 @@ def _sent(docs: DataFrame, shared) -> DataFrame:
                 count += len(some)
                 if count > HELD:
                     yield from flush(held)
-                    held, count = [], 0
+                    count = 0
         if held:
             yield from flush(held)
 
