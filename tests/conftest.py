@@ -12,6 +12,7 @@ def spark():
     from logloom.plans.pipeline import prepare_session
     s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.streaming.numRecentProgressUpdates", "10000")  # a stream with timers drops what it read else
          .config("spark.driver.memory", "6g").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     prepare_session(s)
